@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brineflow.llm import containers, format_duplicates, term_counts, tokenizer_automaton
+from brineflow.llm import containers, format_duplicates, related_splits, term_counts, tokenizer_automaton
 from brineflow.runtime.session import table
 
 CONTAINER_TOKENS = 2048
+SPLIT_SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, sf_dir, "components"), ["name_raw", "name_canonical"], "record_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_splits.related_groups(table(spark, sf_dir, "conditions"), "record_id", "cluster_30", "pdb_id")
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_splits.split_records(table(spark, sf_dir, "conditions"), "record_id", "cluster_30", "pdb_id", SPLIT_SHARES)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_automaton.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -34,6 +43,8 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
