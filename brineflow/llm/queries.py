@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brineflow.llm import containers, format_duplicates, related_splits, term_counts, tokenizer_automaton
+from brineflow.llm import containers, format_duplicates, related_splits, split_overlap, term_counts, tokenizer_automaton
 from brineflow.runtime.session import table
 
 CONTAINER_TOKENS = 2048
@@ -18,6 +18,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates.duplicate_sets(table(spark, sf_dir, "conditions"), "record_id", "raw_details", "source")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = split_overlap.cross_split_pairs(table(spark, sf_dir, "conditions"), "record_id", "raw_details", "pdb_id", "split", "source")
+    return pairs.select(F.least("eval_id", "train_id").alias("record_id_a"), F.greatest("eval_id", "train_id").alias("record_id_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlap_report(table(spark, sf_dir, "conditions"), "record_id", "raw_details", "pdb_id", "split", "source")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, sf_dir, "components"), ["name_raw", "name_canonical"], "record_id")
 
@@ -42,6 +51,8 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
