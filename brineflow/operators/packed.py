@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.runtime.session import bounded_rows, ship_code, spread
@@ -232,11 +232,10 @@ def delimiter_scores(df: DataFrame, text: str, source: str) -> DataFrame:
 
     counts = df.select(F.col(source).cast("string").alias("src"), F.col(text).alias("txt")).where(F.col("txt").isNotNull()).mapInArrow(run, schema)
     sums = counts.groupBy("src", "delimiter").agg(*[F.sum(c).alias(c) for c in ("n_fields", "n_multi", "n_between", "n_regular")])
-    # the prior is a total over at most len(CANDIDATES) groups
-    total = sums.groupBy("delimiter").agg(F.sum("n_between").alias("all_between"), F.sum("n_regular").alias("all_regular"))
-    prior = F.col("all_regular") / F.greatest(F.col("all_between"), F.lit(1))
-    out = sums.join(F.broadcast(total), "delimiter").select(
-        F.col("src"), "delimiter", "n_fields",
+    all_sources = Window.partitionBy("delimiter")
+    prior = F.sum("n_regular").over(all_sources) / F.greatest(F.sum("n_between").over(all_sources), F.lit(1))
+    out = sums.select(
+        "src", "delimiter", "n_fields",
         (F.col("n_multi") / F.col("n_fields")).alias("consistency"),
         ((F.col("n_regular") + PRIOR_OCCURRENCES * prior) / (F.col("n_between") + PRIOR_OCCURRENCES)).alias("regularity"),
     )
@@ -245,7 +244,10 @@ def delimiter_scores(df: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def values_column(df: DataFrame, text: str, source: str, out: str = "values", scores: DataFrame | None = None) -> DataFrame:
-    """Adds the array of values of `text`, split by the delimiters inferred for the row's source."""
+    """Adds the array of values of `text`, split by the delimiters inferred for the row's source.
+
+    The Arrow functions are marked nondeterministic so that a filter on their result doesn't run them a second time.
+    """
     ship_code(df.sparkSession)
     scores = delimiter_scores(df, text, source) if scores is None else scores
     rules = scores.where("accepted").groupBy("src").agg(F.collect_set("delimiter").alias("rules"))
@@ -257,7 +259,7 @@ def values_column(df: DataFrame, text: str, source: str, out: str = "values", sc
         def split_by_row(texts: pd.Series, names: pd.Series) -> pd.Series:
             return pd.Series([split_values(t, frozenset(() if r is None else r)) for t, r in zip(texts, names)], dtype=object)
 
-        return joined.withColumn(out, split_by_row(F.col(text), F.col("rules"))).drop("rules")
+        return joined.withColumn(out, split_by_row.asNondeterministic()(F.col(text), F.col("rules"))).drop("rules")
     by_source = {r["src"]: frozenset(r["rules"]) for r in kept}
 
     @F.pandas_udf("array<string>")
@@ -265,7 +267,7 @@ def values_column(df: DataFrame, text: str, source: str, out: str = "values", sc
         none = frozenset()
         return pd.Series([split_values(t, by_source.get(s, none)) for t, s in zip(texts, sources)], dtype=object)
 
-    return df.withColumn(out, split_known(F.col(text), F.col(source).cast("string")))
+    return df.withColumn(out, split_known.asNondeterministic()(F.col(text), F.col(source).cast("string")))
 
 
 def explode_values(df: DataFrame, key: str, text: str, source: str, least: int = 2) -> DataFrame:
@@ -301,7 +303,7 @@ def content_column(df: DataFrame, text: str, source: str, out: str = "content")
     def canonical(arrays: pd.Series) -> pd.Series:
         return pd.Series([None if a is None else "\x1f".join(sorted(filter(None, map(canonical_value, a)))) or None for a in arrays], dtype=object)
 
-    return values.withColumn(out, canonical(F.col("_values_of_content"))).drop("_values_of_content")
+    return values.withColumn(out, canonical.asNondeterministic()(F.col("_values_of_content"))).drop("_values_of_content")
 
 
 def as_column(name: str | Column) -> Column:
