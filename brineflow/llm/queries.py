@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brineflow.llm import containers, format_duplicates, related_splits, split_overlap, term_counts, tokenizer_automaton
+from brineflow.llm import containers, format_duplicates, personal_data, related_splits, split_overlap, term_counts, tokenizer_automaton
 from brineflow.runtime.session import table
 
 CONTAINER_TOKENS = 2048
@@ -49,6 +49,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.fill_containers(sizes, "doc_id", "n_tokens", CONTAINER_TOKENS)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.mentions(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_splits": p6_splits,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 _TERM = r"trim(regexp_replace(lower({0}), '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
