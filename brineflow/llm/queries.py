@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brineflow.llm import containers, format_duplicates, personal_data, related_splits, split_overlap, term_counts, tokenizer_automaton
+from brineflow.llm import containers, format_duplicates, personal_data, reagent_mapping, related_splits, split_overlap, term_counts, tokenizer_automaton
 from brineflow.runtime.session import table
 
 CONTAINER_TOKENS = 2048
@@ -31,6 +31,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, sf_dir, "components"), ["name_raw", "name_canonical"], "record_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reagent_mapping.map_names(table(spark, sf_dir, "components"), "component_id", "name_raw", "name_canonical", table(spark, sf_dir, "reagents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_splits.related_groups(table(spark, sf_dir, "conditions"), "record_id", "cluster_30", "pdb_id")
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p8_ids": p8_ids,
