@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brineflow.functions.text import let
+
 Z95 = 1.959963984540054
 #: First 16 hex digits of the cut points 0.15 and 0.30.
 TEST_BELOW, VALIDATION_BELOW = "2666666666666666", "4ccccccccccccccc"
@@ -68,31 +70,34 @@ HYDROPATHY = {
 }
 
 
-def entropy(text: Column, letters: str = RESIDUES) -> Column:
-    n = sum((count_of(text, c) for c in letters[1:]), count_of(text, letters[0]))
-    total = None
-    for c in letters:
-        p = count_of(text, c) / n
-        term = F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
-        total = term if total is None else total + term
-    return F.when(n > 0, total)
+def residue_counts(text: Column) -> Column:
+    """Counts of the standard residues in their order."""
+    return F.array(*[count_of(text, c) for c in RESIDUES])
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits over the standard residues; null without any."""
+    of = lambda counts, n: F.when(n > 0, _sum(F.transform(counts, lambda c: F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0))))
+    return let(residue_counts(text), lambda counts: let(_sum(counts), lambda n: of(counts, n)))
+
+
+def _weighted(counts: Column, values: list[float]) -> Column:
+    return _sum(F.zip_with(counts, F.array(*map(F.lit, values)), lambda c, v: c * v))
 
 
 def hydropathy_mean(text: Column) -> Column:
-    n = sum((count_of(text, c) for c in RESIDUES[1:]), count_of(text, RESIDUES[0]))
-    total = None
-    for c, v in HYDROPATHY.items():
-        total = count_of(text, c) * v if total is None else total + count_of(text, c) * v
-    return F.when(n > 0, total / n)
+    values = [HYDROPATHY[c] for c in RESIDUES]
+    return let(residue_counts(text), lambda counts: let(_sum(counts), lambda n: F.when(n > 0, _weighted(counts, values) / n)))
 
 
 def hydropathy_deviation(text: Column) -> Column:
-    n = sum((count_of(text, c) for c in RESIDUES[1:]), count_of(text, RESIDUES[0]))
-    squares = None
-    for c, v in HYDROPATHY.items():
-        squares = count_of(text, c) * (v * v) if squares is None else squares + count_of(text, c) * (v * v)
-    mean = hydropathy_mean(text)
-    return F.when(n > 0, F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0))))
+    values = [HYDROPATHY[c] for c in RESIDUES]
+    of = lambda counts, n: F.sqrt(F.greatest(_weighted(counts, [v * v for v in values]) / n - F.pow(_weighted(counts, values) / n, F.lit(2.0)), F.lit(0.0)))
+    return let(residue_counts(text), lambda counts: let(_sum(counts), lambda n: F.when(n > 0, of(counts, n))))
 
 
 def net_charge(text: Column) -> Column:

@@ -38,7 +38,7 @@ def chat_rows(df: DataFrame, system: str, user: str, assistant: str) -> DataFram
 def distinct_texts(df: DataFrame, text: str, order: str) -> DataFrame:
     """One row per normalised text, the first in order, with its number of copies; combined before the shuffle."""
     rest = [c for c in df.columns if c != text]
-    g = df.where(F.trim(text) != "").groupBy(dedup_key(F.col(text)).alias("text_key")).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(order)).alias("r"), F.count(F.lit(1)).alias("n_copies"))
+    g = df.where(F.col(text).rlike(r"[^ \t\n\r\f\x0B]")).groupBy(dedup_key(F.col(text)).alias("text_key")).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(order)).alias("r"), F.count(F.lit(1)).alias("n_copies"))
     return g.select("text_key", "n_copies", *[F.col(f"r.{c}").alias(c) for c in [text, *rest]])
 
 

@@ -18,9 +18,9 @@ def set_scores(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 
 def multiset_matches(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """(tp, fp, fn) of two multisets: an item counts as often as both have it."""
-    a, b = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), predicted.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+    a, b = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), predicted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    j = a.alias("a").join(b.alias("b"), same, "full_outer").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+    j = a.alias("a").join(b.alias("b"), same, "full_outer").select(F.coalesce("_n", F.lit(0)).alias("n"), F.coalesce("_m", F.lit(0)).alias("m"))
     both = F.least("n", "m")
     return j.agg(F.sum(both).alias("tp"), F.sum(F.col("m") - both).alias("fp"), F.sum(F.col("n") - both).alias("fn"))
 
