@@ -59,7 +59,8 @@ FILLERS = frozenset(
     "salt cold new final approx overnight saturated crystalline powder naoh hcl koh".split()
 )
 _MORE = frozenset(["mme", "monomethyl", "ether", "propane"])
-_COMPOUND = re.compile(rf"({'|'.join(sorted(set(CATIONS.values())))})([a-z]{{5,}})$")
+_CATION_WORDS = sorted({*CATIONS.values(), *(w for w, form in WORD_FORMS.items() if form in CATIONS.values())})
+_COMPOUND = re.compile(rf"({'|'.join(_CATION_WORDS)})([a-z]{{5,}})$")
 _TOKEN = re.compile(r"[a-z]+\d*\+?|\d+")
 _PEG = re.compile(r"\bp\.\s?e\.\s?g\.|\bpoly\s?\(?\s?ethylene?[\s-]*glyc?k?ol\)?|\bpolyethylen?e?[\s-]*gly[ck]ol")
 
@@ -81,7 +82,7 @@ def normal(name: str, family: bool = True) -> list[str]:
         if not family:
             words.append(w)
         elif len(w) > 8 and (m := _COMPOUND.match(w)):
-            words += [m[1], WORD_FORMS.get(m[2], m[2])]
+            words += [WORD_FORMS.get(m[1], m[1]), WORD_FORMS.get(m[2], m[2])]
         else:
             words += WORD_FORMS.get(w, w).split()
     if "mme" in words and "peg" in words:  # one order: peg mme number
