@@ -59,7 +59,8 @@ def share(part: Column, whole: Column) -> Column:
 
 def count_of(text: Column, letters: str) -> Column:
     """How many characters of `text` are among `letters`."""
-    return F.length(text) - F.length(F.translate(text, letters, ""))
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in letters]
+    return sum(counts[1:], counts[0])
 
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
@@ -79,25 +80,33 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def entropy_of(counts: Column) -> Column:
+    """Shannon entropy in bits of counts; null if all are zero."""
+    of = lambda n: F.when(n > 0, _sum(F.transform(counts, lambda c: F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0))))
+    return let(_sum(counts), of)
+
+
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits over the standard residues; null without any."""
-    of = lambda counts, n: F.when(n > 0, _sum(F.transform(counts, lambda c: F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0))))
-    return let(residue_counts(text), lambda counts: let(_sum(counts), lambda n: of(counts, n)))
+    return let(residue_counts(text), entropy_of)
 
 
 def _weighted(counts: Column, values: list[float]) -> Column:
     return _sum(F.zip_with(counts, F.array(*map(F.lit, values)), lambda c, v: c * v))
 
 
-def hydropathy_mean(text: Column) -> Column:
+def hydropathy_mean_of(counts: Column) -> Column:
     values = [HYDROPATHY[c] for c in RESIDUES]
-    return let(residue_counts(text), lambda counts: let(_sum(counts), lambda n: F.when(n > 0, _weighted(counts, values) / n)))
+    return let(_sum(counts), lambda n: F.when(n > 0, _weighted(counts, values) / n))
+
+
+def hydropathy_mean(text: Column) -> Column:
+    return let(residue_counts(text), hydropathy_mean_of)
 
 
-def hydropathy_deviation(text: Column) -> Column:
+def hydropathy_deviation_of(counts: Column) -> Column:
     values = [HYDROPATHY[c] for c in RESIDUES]
-    of = lambda counts, n: F.sqrt(F.greatest(_weighted(counts, [v * v for v in values]) / n - F.pow(_weighted(counts, values) / n, F.lit(2.0)), F.lit(0.0)))
-    return let(residue_counts(text), lambda counts: let(_sum(counts), lambda n: F.when(n > 0, of(counts, n))))
+    of = lambda n: F.sqrt(F.greatest(_weighted(counts, [v * v for v in values]) / n - F.pow(_weighted(counts, values) / n, F.lit(2.0)), F.lit(0.0)))
+    return let(_sum(counts), lambda n: F.when(n > 0, of(n)))
 
 
 def net_charge(text: Column) -> Column:

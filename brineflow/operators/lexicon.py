@@ -38,7 +38,9 @@ def lookup_cascade(df: DataFrame, name: str, index: DataFrame, columns: list[str
     out = df
     for i, key in enumerate(keys):
         part = index.select(F.col("norm_name").alias(f"_k{i}"), F.struct(*columns).alias(f"_r{i}"))
-        out = out.withColumn(f"_key{i}", key).join(part, F.col(f"_key{i}") == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        missing = F.coalesce(*[F.col(f"_r{j}") for j in range(i)]).isNull() if i else F.lit(True)
+        # a key is built only for names not found so far
+        out = out.withColumn(f"_key{i}", F.when(missing, key)).join(part, F.col(f"_key{i}") == F.col(f"_k{i}"), "left").drop(f"_k{i}")
     found = F.coalesce(*[F.col(f"_r{i}") for i in range(4)])
     step = F.when(F.col("_r0").isNotNull(), "name").when(F.col("_r1").isNotNull(), "titrant").when(F.col("_r2").isNotNull(), "ph").when(F.col("_r3").isNotNull(), "prose")
     out = out.withColumn("_found", found).withColumn("match_step", step)

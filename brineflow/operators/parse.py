@@ -18,7 +18,7 @@ from brineflow.functions import quantity as Q
 from brineflow.functions import text as X
 from brineflow.functions.clauses import clauses, reagent_gate
 from brineflow.operators.lexicon import alias_index, lookup_cascade
-from brineflow.runtime.session import bounded_rows, ship_code, spread
+from brineflow.runtime.session import bounded_rows, parallelism, ship_code
 
 #: Aliases held by each Python worker for the gates of the splitter.
 MAX_ALIASES = 200_000
@@ -38,7 +38,8 @@ def clause_rows(texts: DataFrame, text: str, index: DataFrame) -> DataFrame:
         gate = reagent_gate(names)
         return pd.Series([[{"clause": c, "depth": d, "scope": s} for c, d, s in clauses(t, gate)] for t in batch], dtype=object)
 
-    distinct = spread(texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct())
+    # an explicit number of partitions: the parse costs far more than the bytes by which partitions would be merged
+    distinct = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct().repartition(parallelism(texts.sparkSession))
     found = distinct.select("text", split.asNondeterministic()(F.col("text")).alias("c"))
     return found.select("text", F.posexplode("c").alias("clause_index", "c")).select("text", "clause_index", "c.clause", "c.depth", "c.scope")
 

@@ -36,12 +36,14 @@ def inside_share(steps: DataFrame, key: str, totals: DataFrame, at: float = 0.5)
 
 def descriptors(df: DataFrame, key: str, sequence: str) -> DataFrame:
     """Composition and physico-chemical measures of sequences; null for sequences without standard residues."""
-    s = F.upper(sequence)
-    n = S.count_of(s, S.RESIDUES)
-    return df.select(
-        key, F.length(s).alias("length"), n.alias("n_standard"), S.entropy(s).alias("entropy"), S.hydropathy_mean(s).alias("gravy"), S.hydropathy_deviation(s).alias("gravy_sd"),
-        S.net_charge(s).alias("net_charge"), S.longest_run(s).alias("longest_run"),
-        *[F.when(n > 0, S.count_of(s, group) / n).alias(f"fraction_{name}") for name, group in (("aromatic", "FWY"), ("charged", "DEKR"), ("small", "AGSTC"), ("proline", "P"))],
+    rows = df.select(key, F.upper(sequence).alias("_s")).withColumn("_c", S.residue_counts(F.col("_s")))  # counted once
+    counts, at = F.col("_c"), {c: F.col("_c")[i] for i, c in enumerate(S.RESIDUES)}
+    n = F.aggregate(counts, F.lit(0), lambda acc, x: acc + x)
+    of = lambda letters: sum((at[c] for c in letters[1:]), at[letters[0]])
+    groups = {"aromatic": "FWY", "charged": "DEKR", "small": "AGSTC", "proline": "P"}
+    return rows.select(
+        key, F.length("_s").alias("length"), n.alias("n_standard"), S.entropy_of(counts).alias("entropy"), S.hydropathy_mean_of(counts).alias("gravy"), S.hydropathy_deviation_of(counts).alias("gravy_sd"),
+        (of("KR") - of("DE")).alias("net_charge"), S.longest_run(F.col("_s")).alias("longest_run"), *[F.when(n > 0, of(g) / n).alias(f"fraction_{name}") for name, g in groups.items()],
     )
 
 
