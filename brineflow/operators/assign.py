@@ -57,14 +57,16 @@ def classify(components: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def threshold_sweep(components: DataFrame, keys: list[str], weights: list[float], molars: list[float]) -> DataFrame:
-    """(peg_max_mw, salt_min_molar, l1_class, n): class counts under each pair of thresholds; the grid is expanded once per component row."""
-    out = None
-    for w in weights:
-        for m in molars:
-            part = classes(components, keys, peg_max_mw=w, salt_min_molar=m).groupBy("l1_class").agg(F.count(F.lit(1)).alias("n"))
-            part = part.select(F.lit(float(w)).alias("peg_max_mw"), F.lit(float(m)).alias("salt_min_molar"), "l1_class", "n")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """(peg_max_mw, salt_min_molar, l1_class, n): class counts under each pair of thresholds; all pairs in one pass and one shuffle of the records."""
+    grid = [(float(w), float(m)) for w in weights for m in molars]
+    marked = components
+    for i, (w, m) in enumerate(grid):
+        marked = families(marked, peg_max_mw=w, salt_min_molar=m).withColumnRenamed("family", f"_f{i}")
+    label = lambda i: F.array_join(F.array_sort(F.collect_set(f"_f{i}")), "+").alias(f"_l{i}")
+    per_record = marked.groupBy(*keys).agg(*[label(i) for i in range(len(grid))])
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("peg_max_mw"), F.lit(m).alias("salt_min_molar"), F.col(f"_l{i}").alias("l")) for i, (w, m) in enumerate(grid)])).alias("x")
+    rows = per_record.select(each).select("x.peg_max_mw", "x.salt_min_molar", F.when(F.col("x.l") == "", "Unassigned").otherwise(F.col("x.l")).alias("l1_class"))
+    return rows.groupBy("peg_max_mw", "salt_min_molar", "l1_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def features(components: DataFrame, keys: list[str], ph: Column | None = None) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.functions import stats as S
+from brineflow.operators.ranks import global_rank
+from brineflow.runtime.session import bounded_rows
+
+#: Labels of a prior that are sent to every query.
+MAX_LABELS = 10_000
 
 
 def set_scores(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
@@ -41,8 +46,9 @@ def votes(hits: DataFrame, labels: DataFrame, query: str, target: str, weight: s
 def hybrid(ranked: DataFrame, queries: DataFrame, prior: DataFrame, query: str, label: str) -> DataFrame:
     """Votes first, then the prior's labels that have no vote; the prior is one row per label and becomes a literal, so it is read once."""
     first = ranked.select(query, label, F.lit(0).alias("_o"), F.col("rank").alias("_p"))
-    labels = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("_p"), F.col(label).alias("l"))))
-    listed = prior.agg(labels.alias("x")).first()["x"]
+    listed = bounded_rows(prior.select(F.col("rank").alias("_p"), F.col(label).alias("l")), MAX_LABELS)
+    if listed is None:
+        raise ValueError(f"the prior has more than {MAX_LABELS} labels")
     literal = F.array(*[F.struct(F.lit(int(r["_p"])).alias("_p"), F.lit(r["l"]).alias("l")) for r in listed])
     rest = queries.select(query).distinct().select(query, F.explode(literal).alias("x")).select(query, F.col("x.l").alias(label), F.lit(1).alias("_o"), F.col("x._p").alias("_p"))
     once = first.unionByName(rest).groupBy(query, label).agg(F.min(F.struct("_o", "_p")).alias("m"))
@@ -83,12 +89,11 @@ def auc(df: DataFrame, label: Column, score: Column) -> DataFrame:
 def lift(df: DataFrame, label: Column, score: Column, key: str, shares: list[float]) -> DataFrame:
     """(share, n_top, rate, base): rate of positives among the top shares by score, ties by key."""
     n, base = df.agg(F.count(F.lit(1)), F.avg(label.cast("double"))).first()
-    out = None
-    for s in shares:
-        top = int(n * s)
-        part = df.orderBy(F.desc(score), F.asc(key)).limit(max(1, top)).agg(F.avg(label.cast("double")).alias("rate"), F.count(F.lit(1)).alias("n_top")).select(F.lit(s).alias("share"), "n_top", "rate", F.lit(base).cast("double").alias("base"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ranked = global_rank(df.select(label.cast("double").alias("_y"), score.alias("_s"), F.col(key).alias("_k")), [F.desc("_s"), F.asc("_k")], "_r")
+    tops = {s: max(1, int(n * s)) for s in shares}
+    g = ranked.where(F.col("_r") <= max(tops.values())).agg(*[f for i, t in enumerate(tops.values()) for f in (F.avg(F.when(F.col("_r") <= t, F.col("_y"))).alias(f"rate{i}"), F.count_if(F.col("_r") <= t).alias(f"n{i}"))])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"n{i}").alias("n_top"), F.col(f"rate{i}").alias("rate")) for i, s in enumerate(tops)])).alias("x")
+    return g.select(each).select("x.share", "x.n_top", "x.rate", F.lit(base).cast("double").alias("base"))
 
 
 def gates(df: DataFrame, successes: str, n: str, least: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brineflow.functions.stats import hash_fold
 from brineflow.functions.text import dedup_key
 from brineflow.operators.graph import connected_components
+from brineflow.operators.ranks import band_of_rank, global_rank
 
 
 def component_folds(df: DataFrame, key: str, relations: list[str]) -> DataFrame:
@@ -55,7 +56,8 @@ def stratified(df: DataFrame, key: str, strata: list[str], size: int, floor: int
 
 def banded_sample(df: DataFrame, key: str, value: str, bands: int, per_band: int, seed: str = "s") -> DataFrame:
     """A draw from each of `bands` bands of equal count by value."""
-    banded = df.withColumn("band", F.ntile(bands).over(Window.orderBy(value, key)))
+    ranked = global_rank(df, [F.asc(value), F.asc(key)], "_global")
+    banded = ranked.withColumn("band", band_of_rank(F.col("_global"), F.lit(df.count()), bands)).drop("_global")
     return banded.withColumn("_rank", hash_rank(seed, F.col(key), ["band"])).where(F.col("_rank") <= per_band).drop("_rank")
 
 
