@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.functions.text import match_key, normalise, strip_prose, tidy_name, titrant_stripped, without_trailing_ph
+from brineflow.runtime.session import bounded_rows
 
 
 def violations(reagents: DataFrame) -> DataFrame:
@@ -28,6 +29,15 @@ def alias_index(reagents: DataFrame, first_only: bool = True) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "claim")
 
 
+def local_index(reagents: DataFrame, most: int = 200_000) -> DataFrame:
+    """The alias index as a local table, so that each of several lookups broadcasts it without computing it again; raises above `most` aliases."""
+    index = alias_index(reagents)
+    rows = bounded_rows(index, most)
+    if rows is None:
+        raise ValueError(f"the lexicon has more than {most} aliases")
+    return reagents.sparkSession.createDataFrame(rows, index.schema)
+
+
 def lookup_cascade(df: DataFrame, name: str, index: DataFrame, columns: list[str]) -> DataFrame:
     """Adds `columns` of the index by the full name, else without titrant, else without trailing pH, else without prose.
 

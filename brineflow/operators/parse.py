@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from brineflow.functions import quantity as Q
 from brineflow.functions import text as X
 from brineflow.functions.clauses import clauses, reagent_gate
-from brineflow.operators.lexicon import alias_index, lookup_cascade
+from brineflow.operators.lexicon import local_index, lookup_cascade
 from brineflow.runtime.session import bounded_rows, parallelism, ship_code
 
 #: Aliases held by each Python worker for the gates of the splitter.
@@ -122,7 +122,7 @@ def records(parsed: DataFrame) -> DataFrame:
 
 def parse(conditions: DataFrame, reagents: DataFrame, text: str = "raw_details") -> tuple[DataFrame, DataFrame]:
     """(records, components by text). Records keep all columns of `conditions` and get the parsed ones with a prefix."""
-    index = alias_index(reagents)
+    index = local_index(reagents, MAX_ALIASES)
     parsed = parse_clauses(clause_rows(conditions, text, index), index)
     per_text = records(parsed)
     out = conditions.join(per_text.select(F.col("text").alias(text), *[F.col(c).alias(f"parsed_{c}") for c in per_text.columns if c != "text"]), text, "left")

@@ -100,7 +100,7 @@ def q_lexicon_violations(t: Tables) -> DataFrame:
 @registry.add()
 def q_lookup_cascade(t: Tables) -> DataFrame:
     names = t.components.where("name_raw IS NOT NULL").select(X.tidy_name(X.strip_amount(X.normalise(F.col("name_raw")))).alias("norm_name")).groupBy("norm_name").agg(F.count(F.lit(1)).alias("n_uses"))
-    return lexicon.lookup_cascade(names, "norm_name", lexicon.alias_index(t.reagents), ["canonical_id", "chem_class"])
+    return lexicon.lookup_cascade(names, "norm_name", lexicon.local_index(t.reagents), ["canonical_id", "chem_class"])
 
 
 @registry.add()
