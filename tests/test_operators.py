@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,28 @@ def test_sequence_clusters_recall(spark):
     assert together >= 0.9 * 25 and len(set(got.values())) >= 25 and len(got) == 77
 
 
+def test_clusters_of_families_near_the_similarity_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(link, "CELL", 3, raising=False)  # many cells a bucket
+    rng = random.Random(5)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    seqs = {}
+    for f in range(12):
+        base = [rng.choice(letters) for _ in range(200)]
+        for j in range(12):
+            s = list(base)
+            for i in rng.sample(range(200), 6 + f % 6):
+                s[i] = rng.choice(letters)
+            seqs[f"{f:02d}_{j:02d}"] = "".join(s)
+    shingles = {k: {s[i : i + 5] for i in range(len(s) - 4)} for k, s in seqs.items()}
+    alike = [(a, b) for a in seqs for b in seqs if a < b and len(shingles[a] & shingles[b]) >= 0.5 * len(shingles[a] | shingles[b])]
+    df = spark.createDataFrame(list(seqs.items()), "id string, s string")
+    got = dict(rows(link.cluster_sequences(df, "id", "s", 0.5), "id", "cluster"))
+    pairs = set(rows(link.similar_sequences(df, "id", "s", 0.5), "a", "b"))
+    assert pairs <= set(alike) and len(pairs) >= 0.9 * len(alike)
+    assert sum(got[a] != got[b] for a, b in alike) <= 0.01 * len(alike)  # the bands themselves miss few
+    assert all(a[:2] == b[:2] for a in seqs for b in seqs if got[a] == got[b])
+
+
 def test_vectors_match_brute_force(spark):
     import numpy as np
 
