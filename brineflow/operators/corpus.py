@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.functions.text import dedup_key, flat_alnum
+from brineflow.runtime.session import bounded_rows, spread
 from brineflow.schemas import ANSWER, ROLES, UNITS
 
+#: Known names are broadcast up to this number, and shuffled beyond it.
+MOST_SENT = 100_000
+
 
 def usable_example(df: DataFrame, keys: list[str], least: float = 0.95) -> DataFrame:
     """(keys) of records that can teach: confident, not discarded, every component named or known to be none. Columns of both grains joined."""
@@ -150,16 +154,28 @@ def best_ratio(df: DataFrame, name: str, text: str, out: str = "similarity") ->
 
 
 def close_matches(names: DataFrame, name: str, known: DataFrame, candidate: str, cutoff: float, n: int) -> DataFrame:
-    """(name, candidate, ratio, rank): the n closest known names above a cutoff; candidates share the first letter or the numbers."""
-    block = lambda c: F.array_distinct(F.array(F.concat(F.lit("c"), F.substring(c, 1, 1)), F.concat(F.lit("n"), F.array_join(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), "_"))))
-    usable = lambda b: b != "n"
-    a = names.select(name).distinct().withColumn("_b", F.explode(F.filter(block(F.col(name)), usable)))
-    b = known.select(candidate).distinct().withColumn("_b", F.explode(F.filter(block(F.col(candidate)), usable)))
-    pairs = a.join(b, "_b").where(F.abs(F.length(name) - F.length(candidate)) <= (1 - cutoff) * (F.length(name) + F.length(candidate))).select(name, candidate).distinct()
+    """(name, candidate, ratio, rank): the n closest known names at or above a cutoff, of all known names.
+
+    Every distinct name meets every known name, which are few; pairs are left out only by upper bounds of the ratio: the
+    lengths, in the join, and the common letters, before the blocks are matched.
+    """
+    a, b = names.select(name).distinct(), known.select(candidate).distinct()
+    if bounded_rows(b, MOST_SENT) is not None:
+        b = F.broadcast(b)
+    both = F.length(name) + F.length(candidate)
+    pairs = spread(a).join(b, 2 * F.least(F.length(name), F.length(candidate)) >= (cutoff - 1e-9) * both)
 
     @F.pandas_udf("double")
     def ratio(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(xs, ys)], dtype="float64")
+        matchers: dict[str, difflib.SequenceMatcher] = {}
+
+        def one(x: str, y: str) -> float | None:
+            if (m := matchers.get(y)) is None:
+                m = matchers[y] = difflib.SequenceMatcher(None, "", y, autojunk=False)
+            m.set_seq1(x)
+            return m.ratio() if m.quick_ratio() >= cutoff else None
+
+        return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype="float64")
 
     scored = pairs.withColumn("ratio", ratio(F.col(name), F.col(candidate))).where(F.col("ratio") >= cutoff)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("ratio"), F.asc(candidate)))).where(F.col("rank") <= n)

@@ -175,6 +175,21 @@ def test_clusters_of_families_near_the_similarity_match_brute_force(spark, monke
     assert all(a[:2] == b[:2] for a in seqs for b in seqs if got[a] == got[b])
 
 
+@pytest.mark.parametrize("most_sent", [100_000, 1])
+def test_close_matches_are_those_of_all_pairs(spark, monkeypatch, most_sent):
+    import difflib
+
+    monkeypatch.setattr(corpus, "MOST_SENT", most_sent, raising=False)
+    names = ["mm fresh nicotinamide adenine dinucleotide", "m sodium fluuoridde", "prroline", "xsodium fluoride", "sodium fluoride 7", "peg 400", "peg 4000", "zzz", None]
+    known = ["nicotinamide adenine dinucleotide", "sodium fluoride", "l proline", "peg 4000", "peg 400", "peg 8000", "sodium fluoride"]
+    want = set()
+    for x in filter(None, names):
+        scored = sorted((-difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), y) for y in set(known))
+        want |= {(x, y, r) for r, (s, y) in enumerate(scored[:2], 1) if -s >= 0.82}
+    found = corpus.close_matches(spark.createDataFrame([(n,) for n in names], "name string"), "name", spark.createDataFrame([(k,) for k in known], "known string"), "known", 0.82, 2)
+    assert set(rows(found, "name", "known", "rank")) == want and len(want) > 6
+
+
 def test_vectors_match_brute_force(spark):
     import numpy as np
 
