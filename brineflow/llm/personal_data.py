@@ -5,7 +5,8 @@ for: look-alike letters of other scripts, full-width forms, HTML entities, blank
 and disguised at and dot signs. Detectors of mail addresses, identity numbers, telephone numbers, street addresses and
 names run on the plain form, in this order, and a later one never takes characters of an earlier one; spans are then
 mapped back. Names are found by a lexicon of given names and surnames that one pass over all texts learns from the
-places where a person is introduced, and at those places also without it.
+places where a person is introduced. Names introduced in a text count for that text; those introduced in at least
+MIN_NAME_ROWS texts count for all texts, however many such names there are.
 
 Defined results: null, empty and blank texts hold no mention; spans count characters (code points) from 0; repeats
 all count; spans of one text do not overlap. Every detector is linear in the length of the text.
@@ -15,18 +16,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brineflow.runtime.session import ship_code, spread
+from brineflow.operators.joins import heavy_light_join
+from brineflow.runtime.session import bounded_rows, ship_code, spread, written
 
 KINDS = ("email", "id_number", "phone", "address", "name")
-#: The lexicon keeps the most frequent names up to this number; other names are found only where a person is introduced.
+#: The lexicon is broadcast up to this number of names; beyond it each text gets its own names by a join.
 MAX_NAMES = 200_000
+#: Names introduced in at least this many texts count for all texts, others for the texts that introduce them.
 MIN_NAME_ROWS = 2
 
 #: Letters of other scripts that look like Latin ones.
@@ -221,20 +224,30 @@ _INTRODUCED = re.compile(
     rf"(?P<given>(?!{_TITLE}\s){_PROPER})[ ](?:[A-Z]\.?[ ])?(?P<surname>(?:{_PARTICLE}[ ])?{_PROPER})(?=[ ](?:and|und|et|y|noted|opened|for|during|war|hat|to)\b|[,.(:]|[ ]\(|\n|$)"
 )
 _WORDS = re.compile(_WORD)
+_HEAD = re.compile(rf"{_PARTICLE}[ ]", re.I)
 _BEFORE = re.compile(rf"(?P<given>{_WORD})(?:[ ](?P<middle>[^\W\d_]\.?))?[ ]$")
 _INITIALS = re.compile(r"(?<!\w)(?P<initials>[^\W\d_]\.(?:[^\W\d_]\.)?)[ ]$")
 _AFTER = re.compile(rf",[ ](?P<given>{_WORD})(?P<middle>[ ][^\W\d_]\.)?(?![\w@+.-]*@|[-+.]\w|[ ]@)")
 
 
+class _Either:
+    def __init__(self, a: Collection[str], b: Collection[str]):
+        self.a, self.b = a, b
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.a or name in self.b
+
+
 class Names:
     """A lexicon of given names and of surnames, the latter by their last word with the particles that go before it."""
 
-    def __init__(self, given: set[str], surnames: set[str]):
-        self.given = given
-        self.last: dict[str, set[str]] = {}
+    def __init__(self, given: Collection[str], surnames: Iterable[str], shared: Names | None = None):
+        """With `shared`, the names of a larger lexicon count too; it is looked up and not copied."""
+        self.given = given if shared is None else _Either(given, shared.given)
+        self.last: dict[str, set[str]] = {} if shared is None else ChainMap({}, shared.last)
         for s in surnames:
             head, _, tail = s.rpartition(" ")
-            self.last.setdefault(tail, set()).add(head)
+            self.last[tail] = {*self.last.get(tail, ()), head}
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         taken = -1
@@ -252,8 +265,8 @@ class Names:
             else:
                 if "" not in heads:
                     continue
-            before = _BEFORE.search(text[max(0, a - 48) : a])
             offset = max(0, a - 48)
+            before = _BEFORE.search(text[offset:a])
             led = False
             if before and before["given"].lower() in self.given:
                 a, led = offset + before.start("given"), True
@@ -273,28 +286,17 @@ def introduced(text: str) -> Iterator[re.Match]:
     return _INTRODUCED.finditer(text)
 
 
-def find_mentions(source: str | None, names: Names) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every mention, in order of place."""
-    if not source:
-        return []
+def _without_names(source: str) -> tuple[Plain, list[tuple[int, int, str]], str]:
+    """The plain form, the mentions in it other than names, and the plain form with those blanked."""
     plain = Plain(source)
     text = plain.text
     found: list[tuple[int, int, str]] = []
     free = text
 
-    def take(kind: str, a: int, b: int) -> None:
-        nonlocal free
-        found.append((a, b, kind))
-        free = free[:a] + "\x00" * (b - a) + free[b:]
-
     def take_all(kind: str, spans: list[tuple[int, int]]) -> None:
         nonlocal free
         if spans:
-            parts, place = [], 0
-            for a, b in spans:
-                parts += [free[place:a], "\x00" * (b - a)]
-                place = b
-            free = "".join([*parts, free[place:]])
+            free = _blanked(free, spans)
             found.extend((a, b, kind) for a, b in spans)
 
     low = text.lower()
@@ -312,14 +314,45 @@ def find_mentions(source: str | None, names: Names) -> list[tuple[str, int, int]
             phones.append(m.span())
     phones += [(a, b) for a, b in plain.spelled if 9 <= b - a <= 15 and "\x00" not in free[a:b] and not any(x < b and a < y for x, y in phones)]
     take_all("phone", sorted(phones))
-    take_all("name", list(names.spans(free)))
-    for m in introduced(free):
-        take("name", m.start("given"), m.end("surname"))
-    return [(kind, *plain.source_span(a, b)) for a, b, kind in sorted(found)]
+    return plain, found, free
+
 
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    parts, place = [], 0
+    for a, b in spans:
+        parts += [text[place:a], "\x00" * (b - a)]
+        place = b
+    return "".join([*parts, text[place:]])
 
-def learn_names(df: DataFrame, text: str) -> Names:
-    """The lexicon: names introduced in at least MIN_NAME_ROWS texts; counted over all texts, combined before the shuffle."""
+
+def find_mentions(source: str | None, names: Names) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every mention, in order of place."""
+    if not source:
+        return []
+    plain, found, free = _without_names(source)
+    own = [(m["given"].lower(), m["surname"].lower()) for m in introduced(plain.text)]
+    if own:
+        names = Names({g for g, _ in own}, {s for _, s in own}, names)
+    spans = list(names.spans(free))
+    spans += [(m.start("given"), m.end("surname")) for m in introduced(_blanked(free, spans))]
+    return [(kind, *plain.source_span(a, b)) for a, b, kind in sorted([*found, *((a, b, "name") for a, b in spans)])]
+
+
+def asked_names(source: str) -> set[tuple[str, str]]:
+    """(part, name) of every name that `find_mentions` may look up in a text; of surnames their last word, part s."""
+    text = _without_names(source)[2]
+    asked = set()
+    for m in _WORDS.finditer(text):
+        a, b = m.span()
+        asked.add(("s", m.group().lower()))
+        starts = [a, *(a - n for n in range(3, min(a, 8) + 1) if _HEAD.fullmatch(text, a - n, a))]  # before a particle too
+        given = [_BEFORE.search(text[max(0, x - 48) : x]) for x in starts] + [_AFTER.match(text, b)]
+        asked |= {("g", g["given"].lower()) for g in given if g}
+    return asked
+
+
+def learn_names(df: DataFrame, text: str) -> DataFrame:
+    """(part, name): names introduced in at least MIN_NAME_ROWS texts; counted over all texts, combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -332,21 +365,62 @@ def learn_names(df: DataFrame, text: str) -> Names:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["part", "name", "n"])
 
     counted = df.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "part string, name string, n bigint").groupBy("part", "name").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.col("n") >= MIN_NAME_ROWS).orderBy(F.desc("n"), "part", "name").limit(MAX_NAMES).collect()
-    return Names({r["name"] for r in kept if r["part"] == "g"}, {r["name"] for r in kept if r["part"] == "s"})
+    return written(counted.where(F.col("n") >= MIN_NAME_ROWS).select("part", "name"), "names")
+
+
+def _by_part(rows: Iterable) -> Names:
+    rows = list(rows)
+    return Names({r["name"] for r in rows if r["part"] == "g"}, {r["name"] for r in rows if r["part"] == "s"})
+
+
+def _named(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Names | None]:
+    """(rows, names): (key, text) and one lexicon for all of them, or None and in a third column the names each text may hold."""
+    narrow = spread(df.select(F.col(key), F.col(text)))
+    learned = learn_names(narrow, text)
+    if (rows := bounded_rows(learned, MAX_NAMES)) is not None:
+        return narrow, _by_part(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                pairs = sorted(asked_names(t))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(pairs), pa.string()), pa.array([f"{p} {n}" for p, n in pairs], pa.string())], names=["_digest", "_asked"])
+
+    digest = F.sha2(F.col(text), 256)
+    texts = narrow.where(F.col(text) != "").groupBy(digest.alias("_digest")).agg(F.min(text).alias("_text"))
+    asked = texts.mapInArrow(run, "_digest string, _asked string")
+    last = F.when(F.col("part") == "s", F.substring_index("name", " ", -1)).otherwise(F.col("name"))
+    known = learned.groupBy(F.concat_ws(" ", "part", last).alias("_asked")).agg(F.collect_set(F.struct("part", "name")).alias("_names"))
+    own = heavy_light_join(written(asked, "asked"), known, "_asked", "inner").groupBy("_digest").agg(F.flatten(F.collect_set("_names")).alias("_names"))
+    return narrow.withColumn("_digest", digest).join(own, "_digest", "left").select(key, text, "_names"), None
+
+
+def _finder(names: Names | None) -> Callable[[pa.RecordBatch], Iterator[tuple[str | None, list[tuple[str, int, int]]]]]:
+    """Texts with their mentions of each batch of what `_named` gives."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[str, int, int]]]]:
+        if names is not None:
+            for t in batch.column(1).to_pylist():
+                yield t, find_mentions(t, names)
+        else:
+            for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                yield t, find_mentions(t, _by_part(n or []))
+
+    return run
 
 
 def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, start_pos, end_pos): one row per mention."""
     ship_code(df.sparkSession)
-    narrow = spread(df.select(F.col(key), F.col(text)))
-    names = df.sparkSession.sparkContext.broadcast(learn_names(narrow, text))
+    narrow, lexicon = _named(df, key, text)
+    names = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(names.value)
         for b in batches:
             keys, kinds, starts, ends = [], [], [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                for kind, a, z in find_mentions(t, names.value):
+            for k, (_, found) in enumerate(find(b)):
+                for kind, a, z in found:
                     keys.append(k)
                     kinds.append(kind)
                     starts.append(a)
@@ -359,14 +433,14 @@ def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, n_mentions): the text with each mention replaced by its kind in brackets, otherwise unchanged."""
     ship_code(df.sparkSession)
-    narrow = spread(df.select(F.col(key), F.col(text)))
-    names = df.sparkSession.sparkContext.broadcast(learn_names(narrow, text))
+    narrow, lexicon = _named(df, key, text)
+    names = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(names.value)
         for b in batches:
             texts, counts = [], []
-            for t in b.column(1).to_pylist():
-                found = find_mentions(t, names.value)
+            for t, found in find(b):
                 parts, place = [], 0
                 for kind, a, z in found:
                     parts += [t[place:a], f"[{kind.upper()}]"]

@@ -298,6 +298,25 @@ def test_mention_rows_and_redaction(spark):
     assert personal_data.mentions(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_names_introduced_in_one_text_only_count_there():
+    text = "Thanks to Berta Newname for it. Later Newname wrote to B. Newname; see Newname, Berta."
+    assert [text[a:b] for _, a, b in personal_data.find_mentions(text, NAMES)] == ["Berta Newname", "Newname", "B. Newname", "Newname, Berta"]
+    assert personal_data.find_mentions("Later Newname wrote", NAMES) == []
+
+
+def test_more_names_than_are_broadcast_give_the_same_mentions(spark, monkeypatch):
+    people = ["Berta Newname", "Oskar de la Probe", "Ulla von Testmark", "Jan la Marke", "Eva-Lotte Muster"]
+    texts = [f"Thanks to {p} for it." for p in people for _ in range(2)]
+    texts += [x for p in people for g, _, s in [p.partition(" ")] for x in (f"{g.upper()} {s.upper()} was here, {s}, {g} too", f"then {g[0]}.K. {s} and {g} X. {s}; mail x@{s.split()[-1]}.test", f"de {s}: {s}")]
+    texts += [None, "", "  ", "Thanks to Olaf Einmal for it. Einmal again", "Einmal alone", texts[-1], texts[-1]]
+    df = spark.createDataFrame([(i % 30, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = lambda: rows(personal_data.mentions(df, "doc_id", "text"), "doc_id", "kind", "start_pos", "end_pos")
+    safe = lambda: sorted(map(str, personal_data.redact(df, "doc_id", "text").collect()))
+    want, want_safe = found(), safe()
+    monkeypatch.setattr(personal_data, "MAX_NAMES", 1)
+    assert found() == want and safe() == want_safe and len(want) > 40
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, data, name):
     assert_same(queries.QUERIES[name](spark, data), database(data), queries.ORACLES[name])
