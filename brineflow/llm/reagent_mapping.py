@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -175,11 +176,13 @@ class Matcher:
         self.known: dict[str, str | None] = {}
         self.words = {w for _, words, _ in self.forms for w in words}
         self.by_digits: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}
+        self.by_start: dict[tuple[str, ...], list[tuple[str, int]]] = {}
         groups: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for i, (_, words, _) in enumerate(self.forms):
             groups[_numbers(words)].append(i)
         for digits, members in groups.items():
             self.by_digits[digits] = np.array(members), np.array([_letters(self.forms[i][2]) for i in members])
+            self.by_start[digits] = sorted((w, i) for i in members for w in set(self.forms[i][1]))
 
     def mentioned(self, words: list[str]) -> list[tuple[int, int, str]]:
         """Longest non-overlapping mentions as (start, length, id)."""
@@ -205,18 +208,34 @@ class Matcher:
 
     def _compare(self, core: list[str], best: dict[str, float]) -> None:
         joined = "".join(core)
-        if len(joined) < 3 or not any(c.isalpha() for c in joined) or (known := self.by_digits.get(_numbers(core))) is None:
+        digits = _numbers(core)
+        if len(joined) < 3 or not any(c.isalpha() for c in joined) or (known := self.by_digits.get(digits)) is None:
             return
         members, letters = known
         difference = letters - _letters(joined)
         # no fewer edits than letters to add or to drop
         least = np.maximum(np.clip(difference, 0, None).sum(axis=1), np.clip(-difference, 0, None).sum(axis=1))
-        for i in members[least <= 0.36 * np.maximum(letters.sum(axis=1), len(joined))]:
+        near = set(members[least <= 0.36 * np.maximum(letters.sum(axis=1), len(joined))].tolist())
+        # an abbreviated word may leave out more letters than edits allow
+        for i in sorted(near | self._abbreviated(core, digits)):
             cid, form, flat = self.forms[i]
-            score = max(self._flat(joined, flat), self._sets(core, form))
+            score = max(self._flat(joined, flat) if i in near else 0.0, self._sets(core, form))
             if score > best.get(cid, 0.0):
                 best[cid] = score
 
+    def _abbreviated(self, core: list[str], digits: tuple[str, ...]) -> set[int]:
+        """Forms with a longer word that starts with a word of the name, as `_sets` counts abbreviations."""
+        starts, found = self.by_start[digits], set()
+        for w in core:
+            if len(w) > 3:
+                for k in range(bisect_left(starts, (w,)), len(starts)):
+                    word, i = starts[k]
+                    if not word.startswith(w):
+                        break
+                    if word != w:
+                        found.add(i)
+        return found
+
     @staticmethod
     def _flat(a: str, b: str) -> float:
         longest = max(len(a), len(b))

@@ -298,6 +298,11 @@ def test_mention_rows_and_redaction(spark):
     assert personal_data.mentions(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_names_of_several_abbreviated_words():
+    m = reagent_mapping.Matcher([("AMMONIUM_SULFATE", ["ammonium sulfate"]), ("POTASSIUM_NITRATE", ["potassium nitrate"]), ("GLYCEROL", ["glycerol"])])
+    assert [m.match(n) for n in ("ammo. sulf.", "pota. nitr.", "pota. nitrate", "zzzz. yyyy.")] == ["AMMONIUM_SULFATE", "POTASSIUM_NITRATE", "POTASSIUM_NITRATE", None]
+
+
 def test_names_introduced_in_one_text_only_count_there():
     text = "Thanks to Berta Newname for it. Later Newname wrote to B. Newname; see Newname, Berta."
     assert [text[a:b] for _, a, b in personal_data.find_mentions(text, NAMES)] == ["Berta Newname", "Newname", "B. Newname", "Newname, Berta"]
