@@ -94,9 +94,18 @@ def q_spellings(t: Tables) -> DataFrame:
     SELECT 'weight' AS rule, canonical_id FROM reagents WHERE (chem_class = 'peg') <> (peg_mw IS NOT NULL) UNION ALL SELECT 'id_shape', canonical_id FROM reagents WHERE NOT regexp_full_match(canonical_id, '[A-Z0-9]+(_[A-Z0-9]+)*')
     UNION ALL SELECT 'repeated_id', canonical_id FROM reagents GROUP BY canonical_id HAVING count(*) > 1""")
 def q_lexicon_violations(t: Tables) -> DataFrame:
+    """The rules the SQL states; `q_lexicon_violations_all` has all four."""
     return lexicon.violations(t.reagents).where("rule <> 'alias_owned_twice'")
 
 
+@registry.add()
+def q_lexicon_violations_all(t: Tables) -> DataFrame:
+    """(rule, canonical_ids) of all four rules, also of those that nothing breaks."""
+    rules = t.reagents.sparkSession.createDataFrame([(r,) for r in ("id_shape", "repeated_id", "weight", "alias_owned_twice")], "rule string")
+    broken = lexicon.violations(t.reagents).groupBy("rule").agg(F.array_sort(F.collect_list("canonical_id")).alias("canonical_ids"))
+    return rules.join(broken, "rule", "left").select("rule", F.coalesce("canonical_ids", F.array().cast("array<string>")).alias("canonical_ids"))
+
+
 @registry.add()
 def q_lookup_cascade(t: Tables) -> DataFrame:
     names = t.components.where("name_raw IS NOT NULL").select(X.tidy_name(X.strip_amount(X.normalise(F.col("name_raw")))).alias("norm_name")).groupBy("norm_name").agg(F.count(F.lit(1)).alias("n_uses"))
@@ -113,8 +122,19 @@ def q_coverage_by_class(t: Tables) -> DataFrame:
     c AS (SELECT trim(regexp_replace(lower(name_canonical), '[^a-z0-9]+', ' ', 'g')) AS key, min(name_canonical) AS name, CAST(sum(1) AS BIGINT) AS w FROM components WHERE name_canonical IS NOT NULL AND name_canonical NOT LIKE '%hydrate%' GROUP BY 1)
     SELECT coalesce(p.key, c.key) AS key, coalesce(p.name, c.name) AS name, greatest(coalesce(p.w, 0), coalesce(c.w, 0)) AS weight, p.key IS NOT NULL AS is_proposal FROM p FULL OUTER JOIN c ON p.key = c.key""")
 def q_merged_queue(t: Tables) -> DataFrame:
-    plain = lambda df, c: df.where(F.col(c).isNotNull() & ~F.col(c).contains("hydrate")).select(F.col(c).alias("name"), F.lit(1).cast("bigint").alias("w"))
-    return lexicon.merged_queue(plain(t.reagents, "display_name"), plain(t.components, "name_canonical"), "name", "w")
+    """Names on which the SQL agrees; `q_merged_queue_all` has all of them."""
+    plain = lambda df, c: df.where(~F.col(c).contains("hydrate"))
+    return _merged_queue(plain(t.reagents, "display_name"), plain(t.components, "name_canonical"))
+
+
+@registry.add()
+def q_merged_queue_all(t: Tables) -> DataFrame:
+    return _merged_queue(t.reagents, t.components)
+
+
+def _merged_queue(reagents: DataFrame, components: DataFrame) -> DataFrame:
+    weighed = lambda df, c: df.where(F.col(c).isNotNull()).select(F.col(c).alias("name"), F.lit(1).cast("bigint").alias("w"))
+    return lexicon.merged_queue(weighed(reagents, "display_name"), weighed(components, "name_canonical"), "name", "w")
 
 
 @registry.add("""

@@ -216,7 +216,17 @@ def q_latest_snapshot(t: Tables) -> DataFrame:
     SELECT record_id, CASE WHEN t IS NULL OR t = '' THEN true ELSE false END AS blank, length(regexp_replace(lower(t), '[^a-z0-9]', '', 'g'))::INTEGER AS n_alnum, substr(sha256(lower(trim(regexp_replace(t, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')))), 1, 16) AS key_digest
     FROM k WHERE t IS NULL OR NOT regexp_matches(t, '[^\\x00-\\x7f]')""")
 def q_text_keys(t: Tables) -> DataFrame:
-    c = t.conditions.withColumn("t", F.trim("raw_details")).where(F.col("t").isNull() | ~F.col("t").rlike(r"[^\x00-\x7f]"))
+    """Texts on which the SQL agrees; `q_text_keys_all` has all of them."""
+    return _text_keys(t.conditions.where(F.trim("raw_details").isNull() | ~F.trim("raw_details").rlike(r"[^\x00-\x7f]")))
+
+
+@registry.add()
+def q_text_keys_all(t: Tables) -> DataFrame:
+    return _text_keys(t.conditions)
+
+
+def _text_keys(conditions: DataFrame) -> DataFrame:
+    c = conditions.withColumn("t", F.trim("raw_details"))
     return c.select("record_id", X.is_blank(F.col("t")).alias("blank"), F.length(X.flat_alnum(F.col("t"))).alias("n_alnum"), F.substring(F.sha2(X.dedup_key(F.col("t")), 256), 1, 16).alias("key_digest"))
 
 
@@ -224,7 +234,16 @@ def q_text_keys(t: Tables) -> DataFrame:
     SELECT canonical_id, regexp_replace(regexp_replace(upper(CASE WHEN regexp_matches(trim(display_name), '^[0-9]+(,[0-9]+)*-') THEN regexp_replace(trim(display_name), '^[0-9]+(,[0-9]+)*-', '') || '_' || regexp_extract(trim(display_name), '^([0-9]+(,[0-9]+)*)-', 1) ELSE trim(display_name) END), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS built_id,
            trim(regexp_replace(regexp_replace(lower(display_name), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS words, lower(replace(canonical_id, '_', ' ')) AS readable, lower(substr(canonical_id, 2, 2)) AS folder FROM reagents WHERE display_name NOT LIKE '%hydrate%'""")
 def q_id_builders(t: Tables) -> DataFrame:
-    r = t.reagents.where(~F.col("display_name").contains("hydrate"))
+    """Names on which the SQL agrees; `q_id_builders_all` has all of them."""
+    return _id_builders(t.reagents.where(~F.col("display_name").contains("hydrate")))
+
+
+@registry.add()
+def q_id_builders_all(t: Tables) -> DataFrame:
+    return _id_builders(t.reagents)
+
+
+def _id_builders(r: DataFrame) -> DataFrame:
     name = F.col("display_name")
     return r.select("canonical_id", X.canonical_id(name).alias("built_id"), X.match_key(name).alias("words"), X.readable_id(F.col("canonical_id")).alias("readable"), X.middle_path(F.col("canonical_id")).alias("folder"))
 
@@ -267,7 +286,16 @@ def q_bands(t: Tables) -> DataFrame:
            CASE WHEN name_canonical IN ('GLYCEROL', 'ETHYLENE_GLYCOL', 'MPD', 'PEG_200', 'PEG_400', 'SUCROSE', 'TREHALOSE', 'XYLITOL', 'DMSO') AND unit LIKE 'percent%' AND concentration <= 15 THEN 'inferred' END AS cryo
     FROM components WHERE name_raw NOT LIKE '%cryo%'""")
 def q_roles(t: Tables) -> DataFrame:
-    k = t.components.where(~F.col("name_raw").contains("cryo"))
+    """Names on which the SQL agrees; `q_roles_all` has all of them."""
+    return _roles(t.components.where(~F.col("name_raw").contains("cryo")))
+
+
+@registry.add()
+def q_roles_all(t: Tables) -> DataFrame:
+    return _roles(t.components)
+
+
+def _roles(k: DataFrame) -> DataFrame:
     return k.select("component_id", Q.role_of(F.col("chem_class")).alias("role"), Q.cryo_evidence(F.col("name_raw"), F.col("name_canonical"), F.col("concentration"), F.col("unit")).alias("cryo"))
 
 

@@ -190,6 +190,33 @@ def test_close_matches_are_those_of_all_pairs(spark, monkeypatch, most_sent):
     assert set(rows(found, "name", "known", "rank")) == want and len(want) > 6
 
 
+def test_queries_over_all_rows_match_brute_force(spark, tmp_path):
+    import hashlib
+    import re
+
+    from brineflow.functions.text import HYDRATE_WORDS
+    from brineflow.plans import analysis, relational
+
+    texts = ["10 mM  Zn\u00fccker, 5 \u00b5M \u2013 Salz", "plain  TEXT", "", None, " \u00c4\u00d6 "]
+    spark.createDataFrame(list(enumerate(texts)), "record_id bigint, raw_details string").write.parquet(f"{tmp_path}/conditions.parquet")
+    parts = [(1, "glycerol as cryo", "GLYCEROL", "polyol", 30.0, "percent_v_v"), (2, None, "GLYCEROL", "polyol", 10.0, "percent_v_v"), (3, "zinc acetate dihydrate", "ZINC ACETATE DIHYDRATE", "salt", 1.0, "molar")]
+    spark.createDataFrame(parts, "component_id bigint, name_raw string, name_canonical string, chem_class string, concentration double, unit string").write.parquet(f"{tmp_path}/components.parquet")
+    reagents = [("ZINC_ACETATE", "zinc acetate dihydrate", ["zn salt"], "salt", None), ("ZINC_SALT", "zinc salt", ["zn salt"], "salt", None)]
+    spark.createDataFrame(reagents, "canonical_id string, display_name string, aliases array<string>, chem_class string, peg_mw int").write.parquet(f"{tmp_path}/reagents.parquet")
+    run = lambda m, q, *c: rows(m.QUERIES[q](spark, str(tmp_path)), *c)
+    key = lambda x: " ".join(re.sub(rf"\b(?:{HYDRATE_WORDS})\b", " ", x.lower()).split())
+
+    want = []
+    for i, x in enumerate(texts):
+        x = None if x is None else x.strip(" ")
+        want.append((i, not x, None if x is None else len(re.sub("[^a-z0-9]", "", x.lower())), None if x is None else hashlib.sha256(re.sub(r"\s+", " ", x).lower().encode()).hexdigest()[:16]))
+    assert run(relational, "q_text_keys_all", "record_id", "blank", "n_alnum", "key_digest") == want
+    assert run(relational, "q_roles_all", "component_id", "cryo") == [(1, "explicit"), (2, "inferred"), (3, None)]
+    assert run(relational, "q_id_builders_all", "canonical_id", "built_id", "words") == [(r[0], r[1].upper().replace(" ", "_"), key(r[1])) for r in reagents]
+    assert run(analysis, "q_merged_queue_all", "key", "name", "weight", "is_proposal") == [("glycerol", "GLYCEROL", 2, False), ("zinc acetate", "zinc acetate dihydrate", 1, True), ("zinc salt", "zinc salt", 1, True)]
+    assert run(analysis, "q_lexicon_violations_all", "rule", "canonical_ids") == [("alias_owned_twice", ["ZINC_ACETATE"]), ("id_shape", []), ("repeated_id", []), ("weight", [])]
+
+
 def test_vectors_match_brute_force(spark):
     import numpy as np
 
