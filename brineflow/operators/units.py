@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -99,11 +99,28 @@ def _base(name: str) -> Unit | None:
     return None
 
 
-@lru_cache(maxsize=100_000)
+def _kept(longest: int):
+    """Keeps the results of texts up to a length; longer ones are rare and read each time."""
+
+    def wrap(read):
+        kept = lru_cache(maxsize=100_000)(read)
+        return wraps(read)(lambda text: kept(text) if text is None or len(text) <= longest else read(text))
+
+    return wrap
+
+
+@_kept(64)
 def parse_unit(text: str | None) -> Unit | None:
-    """The unit a text states; None for none."""
-    if not text or len(text) > 64:
+    """The unit a text of any length states; None for none, and for numbers that no scale can hold."""
+    if not text:
         return None
+    try:
+        return _parsed(text)
+    except (ArithmeticError, ValueError):  # 10^999, division by 0, thousands of digits
+        return None
+
+
+def _parsed(text: str) -> Unit | None:
     text = unicodedata.normalize("NFKC", text).replace("−", "-").replace("µ", "μ").strip()
     text = _NAMED.get(text, text)
     if kind := _PERCENT.get(re.sub(r"[\s()\[\].,_-]", "", text.lower())):
@@ -144,17 +161,17 @@ _TRAILING = re.compile(r"(?:\(([^()]*(?:\([^()]*\)[^()]*)?)\)|\[([^\[\]]*)\]|,\s
 _NUMBER = re.compile(r"\s*\d+(?:[.,]\d+)?(?![\w^.,])\s*")
 
 
-@lru_cache(maxsize=100_000)
+@_kept(400)
 def unit_in_name(name: str | None) -> Unit | None:
-    """A concentration unit standing before a name (after a number or alone) or behind it (in brackets or after ', in')."""
-    if not name or len(name) > 400:
+    """A concentration unit standing before a name of any length (after a number or alone) or behind it (in brackets or after ', in')."""
+    if not name:
         return None
     if m := _TRAILING.search(name):
         unit = parse_unit(next(g for g in m.groups() if g is not None))
         if common(unit) and m.start() > 0:
             return unit
     rest = name[m.end() :] if (m := _NUMBER.match(name)) else name.lstrip()
-    words = rest.split()
+    words = rest.split(None, 5)
     for n in range(min(4, len(words) - 1), 0, -1):
         unit = parse_unit(" ".join(words[:n]))
         if common(unit) and unit.up != _HEAT:

@@ -190,6 +190,14 @@ def test_close_matches_are_those_of_all_pairs(spark, monkeypatch, most_sent):
     assert set(rows(found, "name", "known", "rank")) == want and len(want) > 6
 
 
+def test_units_in_texts_of_any_length():
+    long = "x" * 500
+    assert units.common(units.unit_in_name(f"{long} (mM)")) == units.common(units.parse_unit("mM"))
+    assert units.common(units.unit_in_name(f"10 mg/ml {long}")) == units.common(units.parse_unit("mg/ml"))
+    assert units.common(units.parse_unit("m" + " " * 80 + "mol / l")) is None and units.common(units.parse_unit("mmol" + " " * 80 + "/ l")) == units.common(units.parse_unit("mM"))
+    assert units.parse_unit("10^999 M") is None and units.parse_unit("9" * 5000 + "^M") is None and units.parse_unit("10^" + "9" * 5000 + " M") is None
+
+
 def test_queries_over_all_rows_match_brute_force(spark, tmp_path):
     import hashlib
     import re
