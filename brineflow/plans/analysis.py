@@ -383,7 +383,7 @@ def q_grounding(t: Tables) -> DataFrame:
 
 @registry.add()
 def q_best_ratio(t: Tables) -> DataFrame:
-    k = t.components.where("name_canonical IS NULL AND name_raw IS NOT NULL").join(t.conditions.select("record_id", F.substring("raw_details", 1, 1_000_000).alias("raw_details")), "record_id")
+    k = t.components.where("name_canonical IS NULL AND name_raw IS NOT NULL").join(t.conditions.select("record_id", "raw_details"), "record_id")
     return corpus.best_ratio(k.select("component_id", "name_raw", "raw_details"), "name_raw", "raw_details").select("component_id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -190,6 +190,14 @@ def test_close_matches_are_those_of_all_pairs(spark, monkeypatch, most_sent):
     assert set(rows(found, "name", "known", "rank")) == want and len(want) > 6
 
 
+def test_best_ratio_reads_the_whole_text(spark, tmp_path):
+    from brineflow.plans import analysis
+
+    spark.createDataFrame([(1, "x" * 1_000_010 + " sodium fluoride")], "record_id bigint, raw_details string").write.parquet(f"{tmp_path}/conditions.parquet")
+    spark.createDataFrame([(7, 1, "sodium fluoride", None)], "component_id bigint, record_id bigint, name_raw string, name_canonical string").write.parquet(f"{tmp_path}/components.parquet")
+    assert rows(analysis.QUERIES["q_best_ratio"](spark, str(tmp_path)), "component_id", "similarity") == [(7, 1.0)]
+
+
 def test_units_in_texts_of_any_length():
     long = "x" * 500
     assert units.common(units.unit_in_name(f"{long} (mM)")) == units.common(units.parse_unit("mM"))
