@@ -10,7 +10,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable
 
-from brineflow.functions.text import AMOUNT, DASHES, UNIT
+from brineflow.functions.text import DASHES, LEADING_AMOUNT, QUANTITY, UNIT
 
 _DASH_TABLE = str.maketrans(DASHES, "-" * len(DASHES))
 #: Labels that open a section.
@@ -22,8 +22,8 @@ _BREAK = re.compile(
 )
 _LABEL = re.compile(rf"^(?:{CONDITION_LABELS}|(?:and|plus|with|containing|of)\s+)\s*")
 _MARK = re.compile(r"^(?:\(?(?:\d{1,2}|[a-z]|[ivx]{1,5})[.)]|[*•-])\s+(?=\S)")
-_AMOUNT = re.compile(rf"(?<![\w.-]){AMOUNT}")
-_WITH_UNIT = re.compile(rf"(?<![\w.,-])\d+(?:[.,]\d+)?(?:\s*(?:-|to)\s*\d+(?:[.,]\d+)?)?\s*{UNIT}(?![a-z0-9])")
+_AMOUNT = re.compile(LEADING_AMOUNT)
+_WITH_UNIT = re.compile(rf"(?<![\w.,-]){QUANTITY}\s*{UNIT}(?![a-z0-9])")
 _SETUP = re.compile(r"\s+(?:(?:was|were)\s+)?(?:mixed|combined|equilibrated|added|incubated|set up)\b.*$")
 
 
@@ -103,27 +103,32 @@ class Locator:
 
 def clauses(text: str | None, is_reagent: Callable[[str], bool] = lambda head: False) -> list[tuple[str, int, str | None]]:
     """(clause, bracket depth at its start, scope role) of a text in order."""
+    return [c[:3] for c in detailed_clauses(text, is_reagent)]
+
+
+def detailed_clauses(text: str | None, is_reagent: Callable[[str], bool] = lambda head: False) -> list[tuple[str, int, str | None, bool]]:
+    """`clauses` with whether a slash stands before each."""
     if not text or not text.strip():
         return []
     ready = prepare(text)
     spans, locator = scope_spans(ready), Locator(ready)
-    out: list[tuple[str, int, str | None]] = []
-    depth, start = 0, 0
+    out: list[tuple[str, int, str | None, bool]] = []
+    depth, start, slash = 0, 0, False
     cuts = [*((m.start(), m.end()) for m in _BREAK.finditer(ready)), (len(ready), len(ready))]
     for a, b in cuts:
         part, entry = ready[start:a], depth
         depth = max(0, depth + part.count("(") - part.count(")"))
-        start = b
+        start, slash, behind = b, ready[a:b].strip() == "/", slash
         clause = " ".join(part.split()).strip("\"' ")
         clause = _MARK.sub("", clause)
         clause = _LABEL.sub("", clause)
         clause = _peel(clause.strip(" ,;")).removesuffix(".").strip("\"' ")
         if not clause:
             continue
-        for piece in _unjam(_without_setup(clause, is_reagent), is_reagent):
+        for k, piece in enumerate(_unjam(_without_setup(clause, is_reagent), is_reagent)):
             at = locator.find(piece)
             role = next((r for x, y, r in spans if x <= at < y), None)
-            out.append((piece, entry, role))
+            out.append((piece, entry, role, behind and not k))
     return out
 
 
@@ -133,7 +138,7 @@ _PH_TAIL = re.compile(r"[\s,(]*(?:at\s+)?\bph\s*[=:~]?\s*\d.*$")
 def head_name(head: str) -> str:
     """The bare name in a clause head, as the gates compare it with known names."""
     bare = _PH_TAIL.sub("", head)
-    bare = _AMOUNT.sub(" ", bare, count=1) if _AMOUNT.match(bare.lstrip()) else _WITH_UNIT.sub(" ", bare)
+    bare = bare.lstrip()[m.end() :] if (m := _AMOUNT.match(bare.lstrip())) else _WITH_UNIT.sub(" ", bare)
     return " ".join(re.sub(r"[()]", " ", re.sub(r"\bpeg[\s-]*(\d)", r"peg \1", bare)).split()).strip(" ,;-")
 
 

@@ -38,8 +38,26 @@ def classes(components: DataFrame, keys: list[str], **thresholds: float) -> Data
     return g.withColumn("l1_class", F.when(F.col("n_families") == 0, "Unassigned").otherwise(F.col("l1_class")))
 
 
+def expand_premixes(components: DataFrame, premixes: DataFrame, reagents: DataFrame) -> DataFrame:
+    """Components with each premix replaced by what it is made of; (premix, part) in `premixes`, both ids of the list.
+
+    A constituent keeps order, amount and role of its premix and has the class and weight of its own; the premix is
+    named in `expanded_from`. A premix of unknown composition stays as it is. The list is a dimension, so the plan
+    joins it once for each side and shuffles the components only if it is too large to broadcast.
+    """
+    own = reagents.select(F.col("canonical_id").alias("part"), F.struct("canonical_id", "chem_class", "peg_mw").alias("_part"))
+    made = premixes.join(own, "part").groupBy(F.col("premix").alias("_premix")).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    j = components.join(made, F.col("name_canonical") == F.col("_premix"), "left").withColumn("_one", F.explode_outer("_parts"))
+    replaced = {"name_canonical": "canonical_id", "chem_class": "chem_class", "peg_mw": "peg_mw"}
+    kept = [F.when(F.col("_one").isNull(), F.col(c)).otherwise(F.col(f"_one.{replaced[c]}")).alias(c) if c in replaced else F.col(c) for c in components.columns]
+    return j.select(*kept, F.when(F.col("_one").isNotNull(), F.col("_premix")).alias("expanded_from"))
+
+
 def classify(components: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, class, reason): components are read in order; the first that blocks gives the reason, else the families give the class."""
+    """(keys, class, reason): components are read in order; the first that blocks gives the reason, else the families give the class.
+
+    A premix blocks unless `expand_premixes` has replaced it by its constituents.
+    """
     skipped = F.coalesce(F.col("role") == "not_a_component", F.lit(False)) | F.coalesce(F.col("cryo_evidence") == "explicit", F.lit(False)) | F.coalesce(F.col("role").isin(*OUT_OF_SCOPE), F.lit(False))
     precipitant = F.col("chem_class").isin("peg", "organic", "polyol", "salt")
     blocker = (

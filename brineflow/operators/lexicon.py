@@ -29,6 +29,16 @@ def alias_index(reagents: DataFrame, first_only: bool = True) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "claim")
 
 
+def with_premixes(reagents: DataFrame) -> DataFrame:
+    """Adds `only_buffers`: whether a premix, by its column `premix_components` if the list has one, is made of buffers only; null if unknown."""
+    if "premix_components" not in reagents.columns:
+        return reagents.withColumn("only_buffers", F.lit(None).cast("boolean"))
+    classes = reagents.select(F.col("canonical_id").alias("_part"), (F.col("chem_class") == "buffer").alias("_buffer"))
+    parts = reagents.select("canonical_id", F.explode("premix_components").alias("_part")).join(classes, "_part")
+    made = parts.groupBy("canonical_id").agg(F.min("_buffer").alias("only_buffers"))
+    return reagents.join(made, "canonical_id", "left").drop("premix_components")
+
+
 def local_index(reagents: DataFrame, most: int = 200_000) -> DataFrame:
     """The alias index as a local table, so that each of several lookups broadcasts it without computing it again; raises above `most` aliases."""
     index = alias_index(reagents)

@@ -9,6 +9,7 @@ from brineflow.functions import quantity as Q
 from brineflow.functions import stats as S
 from brineflow.functions import text as X
 from brineflow.operators import assign, corpus, lexicon, link, parse, release, screens, sequence
+from brineflow.operators.joins import heavy_light_join
 from brineflow.plans.registry import Registry, Tables
 from brineflow.runtime.session import written
 from brineflow.streaming import incremental
@@ -20,10 +21,14 @@ QUERIES, ORACLES = registry.queries, registry.oracles
 # parsing: the grammar needs look-around and state, so these have no SQL and are tested on fixtures
 
 
+_PART = ["clause_index", "clause", "name_raw", "name_canonical", "role", "concentration", "unit", "unit_inferred", "concentration_is_range", "range_low", "range_high", "cryo_evidence", "non_component_reason", "match_step"]
+
+
 @registry.add()
 def q_parse_components(t: Tables) -> DataFrame:
-    _, components = parse.parse(t.conditions.select("record_id", "raw_details"), t.reagents)
-    return components.select("text", "clause_index", "clause", "name_raw", "name_canonical", "role", "concentration", "unit", "unit_inferred", "concentration_is_range", "range_low", "range_high", "cryo_evidence", "non_component_reason", "match_step")
+    c = t.conditions.select("record_id", "raw_details")
+    _, components = parse.parse(c, t.reagents)
+    return parse.of_records(c, components.select("text", *_PART), ["record_id"])
 
 
 @registry.add()
@@ -39,9 +44,12 @@ def q_parse_records(t: Tables) -> DataFrame:
 
 @registry.add()
 def q_class_distribution(t: Tables) -> DataFrame:
-    _, components = parse.parse(t.conditions.select("record_id", "raw_details"), t.reagents)
-    g = assign.classify(components.withColumn("name_canonical", F.col("name_canonical")), ["text"], "clause_index").groupBy(F.coalesce("class", "reason").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    return g.orderBy(F.desc("n"), "class")
+    """Records by class or by what keeps them from having one; records without components have no precipitant."""
+    c = t.conditions.select("record_id", "raw_details")
+    _, components = parse.parse(c, t.reagents)
+    of_text = assign.classify(components, ["text"], "clause_index").select(F.col("text").alias("raw_details"), F.coalesce("class", "reason").alias("class"))
+    each = heavy_light_join(c, of_text, "raw_details").select(F.coalesce("class", F.lit("no_precipitant")).alias("class"))
+    return each.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class")
 
 
 @registry.add()
@@ -52,11 +60,12 @@ def q_parse_wells(t: Tables) -> DataFrame:
 
 @registry.add()
 def q_screen_match(t: Tables) -> DataFrame:
-    _, a = parse.parse(t.conditions.select("raw_details"), t.reagents)
+    """The well of every distinct recipe, by its names, amounts and pH."""
+    parsed, a = parse.parse(t.conditions.select("raw_details").distinct(), t.reagents)
     wells, b = parse.parse(t.screen_wells, t.reagents, "condition_text")
-    records = assign.fingerprints(a, ["text"]).withColumn("ph", F.lit(None).cast("double"))
+    ph = parsed.select(F.col("raw_details").alias("text"), F.col("parsed_ph_text_value").alias("ph"))
     named = wells.select(F.concat_ws(" ", "screen", "well").alias("well_id"), F.col("condition_text").alias("text"), F.col("parsed_ph_text_value").alias("ph"))
-    return assign.match_screens(records, "text", named.join(assign.fingerprints(b, ["text"]), "text"))
+    return assign.match_screens(assign.fingerprints(a, ["text"]).join(ph, "text"), "text", named.join(assign.fingerprints(b, ["text"]), "text"))
 
 
 @registry.add("SELECT screen, well, condition_text, CASE WHEN trim(condition_text) = '' THEN 'empty' ELSE NULL END AS empty_kind, regexp_matches(lower(condition_text), '^[0-9.]+ ?k$') AS is_temperature FROM screen_wells")
@@ -174,6 +183,22 @@ def q_classify(t: Tables) -> DataFrame:
     return assign.classify(t.components, ["record_id"], "component_id")
 
 
+@registry.add("""
+    WITH p AS (SELECT a.canonical_id AS premix, b.canonical_id AS part, b.chem_class, b.peg_mw FROM reagents a JOIN reagents b ON substr(a.canonical_id, 1, 1) = substr(b.canonical_id, 1, 1) WHERE a.chem_class = 'detergent' AND b.chem_class <> 'detergent'),
+    x AS (SELECT k.component_id, k.record_id, k.role, k.cryo_evidence, k.concentration, coalesce(p.part, k.name_canonical) AS name_canonical, CASE WHEN p.part IS NULL THEN k.chem_class ELSE p.chem_class END AS chem_class, CASE WHEN p.part IS NULL THEN k.peg_mw ELSE p.peg_mw END AS peg_mw, p.premix FROM components k LEFT JOIN p ON k.name_canonical = p.premix)
+    SELECT record_id, count(*) AS n, count(premix) AS n_expanded, string_agg(DISTINCT CASE WHEN chem_class IN ('organic', 'polyol') OR (chem_class = 'peg' AND peg_mw <= 600) THEN 'organic' WHEN chem_class IN ('peg', 'salt') THEN chem_class END, '+' ORDER BY CASE WHEN chem_class IN ('organic', 'polyol') OR (chem_class = 'peg' AND peg_mw <= 600) THEN 'organic' WHEN chem_class IN ('peg', 'salt') THEN chem_class END) AS families
+    FROM x GROUP BY record_id""")
+def q_premix_families(t: Tables) -> DataFrame:
+    """Families of the records once detergents are taken for premixes of what shares their first letter; the tables hold no premix of their own."""
+    a = t.reagents.where("chem_class = 'detergent'").select(F.col("canonical_id").alias("premix"), F.substring("canonical_id", 1, 1).alias("c"))
+    b = t.reagents.where("chem_class <> 'detergent'").select(F.col("canonical_id").alias("part"), F.substring("canonical_id", 1, 1).alias("c"))
+    x = assign.expand_premixes(t.components, a.join(b, "c").drop("c"), t.reagents)
+    small = F.col("chem_class").isin("organic", "polyol") | ((F.col("chem_class") == "peg") & (F.col("peg_mw") <= 600))
+    family = F.when(small, "organic").when(F.col("chem_class").isin("peg", "salt"), F.col("chem_class"))
+    g = x.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.count("expanded_from").alias("n_expanded"), F.array_join(F.array_sort(F.collect_set(family)), "+").alias("families"))
+    return g.withColumn("families", F.nullif("families", F.lit("")))
+
+
 _FAMILY = """CASE WHEN coalesce(cryo_evidence <> 'explicit', true) AND NOT coalesce(role IN ('protein_buffer', 'soak', 'not_a_component'), false) THEN
     CASE WHEN (chem_class IN ('organic', 'polyol') OR (chem_class = 'peg' AND peg_mw <= {w})) AND pct >= 4 THEN 'organic' WHEN chem_class = 'peg' AND pct >= 4 THEN 'peg' WHEN chem_class = 'salt' AND mol >= {m} THEN 'salt'
          WHEN chem_class = 'buffer' AND hofmeister_rank IS NOT NULL AND mol >= {m} THEN 'salt' END END"""

@@ -286,8 +286,17 @@ def q_bands(t: Tables) -> DataFrame:
            CASE WHEN name_canonical IN ('GLYCEROL', 'ETHYLENE_GLYCOL', 'MPD', 'PEG_200', 'PEG_400', 'SUCROSE', 'TREHALOSE', 'XYLITOL', 'DMSO') AND unit LIKE 'percent%' AND concentration <= 15 THEN 'inferred' END AS cryo
     FROM components WHERE name_raw NOT LIKE '%cryo%'""")
 def q_roles(t: Tables) -> DataFrame:
-    """Names on which the SQL agrees; `q_roles_all` has all of them."""
-    return _roles(t.components.where(~F.col("name_raw").contains("cryo")))
+    """The rows and the list of capable reagents that the SQL states; `q_role_evidence` has all rows and the whole list."""
+    stated = ("GLYCEROL", "ETHYLENE_GLYCOL", "MPD", "PEG_200", "PEG_400", "SUCROSE", "TREHALOSE", "XYLITOL", "DMSO")
+    return _roles(t.components.where(~F.col("name_raw").contains("cryo")), stated)
+
+
+@registry.add(f"""
+    SELECT component_id, CASE WHEN chem_class IN ('peg', 'organic', 'polyol', 'other') THEN 'precipitant' WHEN chem_class IN ('salt', 'buffer') THEN chem_class WHEN chem_class IN ('detergent', 'additive') THEN 'additive' WHEN chem_class = 'premix' THEN 'precipitant' ELSE 'unknown' END AS role,
+           CASE WHEN regexp_matches(name_raw, 'cryo|\\bfor freezing\\b|\\bflash[- ]?(cool|fr[eo]e?z)') THEN 'explicit' WHEN name_canonical IN {Q.CRYO_CAPABLE} AND unit LIKE 'percent%' AND concentration <= 15 THEN 'inferred' END AS cryo
+    FROM components""")
+def q_role_evidence(t: Tables) -> DataFrame:
+    return _roles(t.components)
 
 
 @registry.add()
@@ -295,8 +304,8 @@ def q_roles_all(t: Tables) -> DataFrame:
     return _roles(t.components)
 
 
-def _roles(k: DataFrame) -> DataFrame:
-    return k.select("component_id", Q.role_of(F.col("chem_class")).alias("role"), Q.cryo_evidence(F.col("name_raw"), F.col("name_canonical"), F.col("concentration"), F.col("unit")).alias("cryo"))
+def _roles(k: DataFrame, capable: tuple[str, ...] = Q.CRYO_CAPABLE) -> DataFrame:
+    return k.select("component_id", Q.role_of(F.col("chem_class")).alias("role"), Q.cryo_evidence(F.col("name_raw"), F.col("name_canonical"), F.col("concentration"), F.col("unit"), capable).alias("cryo"))
 
 
 @registry.add("""

@@ -508,3 +508,38 @@ def test_windows_over_a_stream(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM daily").first()[0] == events.count()
+
+
+def test_parser_against_labelled_components(spark, data):
+    """The components table names what a text holds: the parser finds the names in the texts, also of repeated records, and keeps every record's rows apart."""
+    from brineflow.operators import parse
+
+    conditions, components, reagents = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("conditions", "components", "reagents"))
+    c = conditions.select("record_id", "raw_details")
+    _, found = parse.parse(c, reagents)
+    got = parse.of_records(c, found, ["record_id"]).where("name_canonical IS NOT NULL").select("record_id", "name_canonical").distinct()
+    labels = components.join(reagents.select(F.col("canonical_id").alias("name_canonical")), "name_canonical", "left_semi").select("record_id", "name_canonical").distinct()
+    labels = labels.join(c.where("raw_details IS NOT NULL").select("record_id"), "record_id", "left_semi")
+    assert got.join(labels, ["record_id", "name_canonical"]).count() >= 0.85 * labels.count()
+
+
+def test_parser_roles_titrants_and_premixes(spark):
+    from brineflow.operators import parse
+
+    reagents = spark.createDataFrame(
+        [("CAPS", "CAPS", "buffer", None), ("MES", "MES", "buffer", None), ("SODIUM_HYDROXIDE", "sodium hydroxide", "additive", None), ("MIX_B", "mix b", "premix", ["CAPS", "MES"]), ("MIX_P", "mix p", "premix", ["CAPS", "GLYCEROL"]), ("GLYCEROL", "glycerol", "polyol", None)],
+        "canonical_id string, display_name string, chem_class string, premix_components array<string>",
+    ).selectExpr("*", "array() AS aliases", "cast(null as string) AS default_unit", "cast(null as int) AS peg_mw", "cast(null as boolean) AS is_mme", "cast(null as double) AS buffer_pka")
+    texts = ["0.1 M CAPS / sodium hydroxide pH 10.5", "10% mix b; 10% mix p", "30% glycerol for freezing", "10% glycerol", "20% glycerol", "sodium hydroxide", None, "", "qqx 5%; zzx 3%", "10% glycerol"]
+    c = spark.createDataFrame(list(enumerate(texts)), "record_id int, raw_details string")
+    records, parts = parse.parse(c, reagents)
+    r = {x["record_id"]: x for x in records.collect()}
+    assert (r[0]["parsed_ph_text_value"], r[0]["parsed_ph_source"], r[0]["parsed_flags"]) == (10.5, "buffer", ["buffer_titrant"])
+    assert r[6]["parsed_discard_reason"] == r[7]["parsed_discard_reason"] == "EMPTY" and r[8]["parsed_unidentified"] == ["qqx", "zzx"]
+    roles = {}
+    for x in parse.of_records(c, parts, ["record_id"]).collect():
+        roles.setdefault(x["record_id"], {})[x["norm_name"]] = (x["role"], x["cryo_evidence"])
+    assert roles[0] == {"caps": ("buffer", None), "sodium hydroxide": ("not_a_component", None)}
+    assert roles[1] == {"mix b": ("buffer", None), "mix p": ("precipitant", None)}
+    assert [roles[i] for i in (3, 4, 5, 9)] == [{"glycerol": ("cryo", "inferred")}, {"glycerol": ("precipitant", None)}, {"sodium hydroxide": ("additive", None)}, {"glycerol": ("cryo", "inferred")}]
+    assert next(iter(roles[2].values())) == ("cryo", "explicit") and set(roles) == {0, 1, 2, 3, 4, 5, 8, 9}
