@@ -1,8 +1,10 @@
 """Filling fixed-capacity containers with items, by Martello-Toth dominance reduction and best fit.
 
 Sizes are whole numbers up to the capacity, so the instance is its histogram: at most `capacity` numbers, however
-many items there are. The driver solves that: size classes whose container set provably dominates every other set are
-fixed first, with their whole multiplicity, the rest is filled by best fit. The result is a list of patterns (which
+many items there are. The driver solves that. For the largest open item it looks for a set of companions that
+dominates every other set that fits beside it: each of those could be swapped against the chosen one without needing
+a container more, so the choice is fixed, with its whole multiplicity, and the instance shrinks. What no set dominates
+is filled by best fit in descending order, a run of equal items at a time. The result is a list of patterns (which
 sizes, how often). Each item then looks up its container by its rank among the items of its size; ranks come from
 counts per (size, salt), so a size that holds a third of all items is ranked in many tasks.
 
@@ -12,6 +14,7 @@ items of size zero or null size get no container; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,89 +28,113 @@ Pattern = tuple[dict[int, int], int]
 ROWS_PER_SALT = 100_000
 
 
-def _largest_fit(sizes: list[int], room: int) -> int | None:
-    """Index of the largest size that fits, in a list in descending order."""
-    lo, hi = 0, len(sizes)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if sizes[mid] <= room else (mid + 1, hi)
-    return lo if lo < len(sizes) else None
-
-
-def _dominating(j: int, counts: dict[int, int], capacity: int) -> list[int] | None:
-    """The items to put beside the largest item j such that no other set for j's container can be better; None if unproven."""
-    rest = {s: n - (s == j) for s, n in counts.items() if n - (s == j) > 0}
-    fits = sorted((s for s in rest if s <= capacity - j), reverse=True)
-    if not fits:
+def _beyond(sizes: list[int], rest: dict[int, int], low: int, room: int) -> bool:
+    """Whether some items together take more than `low` and at most `room`; sums are the bits of one number."""
+    sums, limit = 1, (1 << room + 1) - 1
+    for s in sizes:
+        n, step = min(rest[s], room // s), 1
+        while n > 0:  # counts in powers of two, so that every number of items up to n is reached
+            take = min(step, n)
+            sums |= (sums << s * take) & limit
+            n, step = n - take, step * 2
+        if sums >> low + 1:
+            return True
+    return False
+
+
+def dominating(j: int, counts: dict[int, int], capacity: int) -> list[int] | None:
+    """The companions of an item of size j that dominate every other set that fits beside it, None if there are none of up to two.
+
+    A set dominates another if the other can be cut into parts, each no larger than an item of its own of the first.
+    """
+    room = capacity - j
+    rest = {s: n - (s == j) for s, n in counts.items() if s <= room and n - (s == j) > 0}
+    if not rest:
         return []
-    room, best = capacity - j, fits[0]
-    if best == room:
-        return [best]
-    small = sorted(s for s in fits)
-    units = [s for s in small[:3] for _ in range(min(3, rest[s]))][:3]
-    if len(units) < 2 or units[0] + units[1] > room:
-        return [best]  # nothing or one item fits beside j: the largest dominates
-    # the largest pair that fits and the largest smaller half of such a pair
-    pair, half = 0, 0
-    for s in fits:
-        k = _largest_fit(fits, min(s, room - s))
-        while k is not None and k < len(fits) and fits[k] == s and rest[s] < 2:
-            k = k + 1 if k + 1 < len(fits) else None
-        if k is not None and k < len(fits):
-            pair, half = max(pair, s + fits[k]), max(half, fits[k])
-    if pair <= best:
-        return [best]
-    if len(units) < 3 or sum(units) > room:  # at most two items fit beside j
-        other = [s for s in fits if s <= room - best and (s != best or rest[s] > 1)]
-        if other and other[0] >= half:
-            return [best, other[0]]
-    return None
-
-
-def _take(pattern: dict[int, int], counts: dict[int, int], most: int | None = None) -> int:
-    n = min(counts[s] // k for s, k in pattern.items())
-    n = n if most is None else min(n, most)
-    for s, k in pattern.items():
-        counts[s] -= k * n
-        if not counts[s]:
-            del counts[s]
-    return n
+    sizes = sorted(rest)
+    largest = sizes[-1]
+    # one item: no set of any number of items takes more than it
+    if largest == room or not _beyond(sizes, rest, largest, room):
+        return [largest]
+    # two items: three never fit, so only pairs are left to compare, x >= y
+    three = [s for s in sizes[:3] for _ in range(min(3, rest[s]))][:3]
+    if len(three) == 3 and sum(three) <= room:
+        return None
+    fits = lambda x, y: rest.get(y, 0) > (x == y)
+    second = next((y for y in reversed(sizes) if y <= room - largest and fits(largest, y)), None)
+    if second is None:
+        return None
+    for y in sizes[bisect_left(sizes, second + 1) :]:
+        at = bisect_left(sizes, room - y + 1) - 1
+        if at >= 0 and sizes[at] == y and rest[y] < 2:
+            at = -1  # the pair would need a second item of this size
+        if at >= 0 and sizes[at] >= y and sizes[at] + y > largest:
+            return None  # both are too large for `second`, and together for `largest`
+    return [largest, second]
+
+
+def _reduce(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Takes all items out of `counts` whose container a dominating set fixes. A set that dominates goes on doing so while items vanish, as fewer others are left to beat."""
+    patterns: list[Pattern] = []
+    again = True
+    while again:
+        again = False
+        for j in sorted(counts, reverse=True):
+            while j in counts and (beside := dominating(j, counts, capacity)) is not None:
+                pattern: dict[int, int] = {}
+                for s in (j, *beside):
+                    pattern[s] = pattern.get(s, 0) + 1
+                n = min(counts[s] // k for s, k in pattern.items())
+                for s, k in pattern.items():
+                    counts[s] -= k * n
+                    if not counts[s]:
+                        del counts[s]
+                patterns.append((pattern, n))
+                again = True
+    return patterns
+
+
+def _best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Items in descending order, each into the fullest container that has room; containers filled alike are one entry.
+
+    An item put into a container leaves less room there than in any other that could take one more of its size, so the
+    next item of the size goes there too: each container takes as many as it has room for before another is used.
+    """
+    rooms: list[tuple[int, int]] = []  # (room, number of the entry), ascending
+    filled: list[list] = []  # pattern, multiplicity
+
+    def add(pattern: dict[int, int], n: int, room: int) -> None:
+        if n:
+            insort(rooms, (room, len(filled)))
+            filled.append([pattern, n])
+
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        while left:
+            at = bisect_left(rooms, (s, -1))
+            if at < len(rooms):
+                room, entry = rooms.pop(at)
+                pattern, n = filled[entry]
+                filled[entry][1] = 0
+            else:
+                most = capacity // s
+                room, pattern, n = capacity, {}, -(-left // most)
+            most = room // s
+            whole = min(n, left // most)
+            add({**pattern, s: most}, whole, room - most * s)
+            left -= whole * most
+            if whole < n and left:  # fewer than `most` are left: one container takes them
+                add({**pattern, s: left}, 1, room - left * s)
+                whole, left = whole + 1, 0
+            add(pattern, n - whole, room)
+    return [(p, n) for p, n in filled if n]
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], int]:
     """Patterns with multiplicities that use every item once, and how many containers the reduction fixed."""
     counts = {int(s): int(n) for s, n in histogram.items() if 0 < s <= capacity and n > 0}
-    patterns: list[Pattern] = []
-    fixed = 0
-    for j in sorted(counts, reverse=True):
-        if j < capacity // 3 and counts and sum(sorted(counts)[:3]) * 1.0 <= capacity - j:
-            break  # many small items fit beside j: no set of at most three can dominate
-        while j in counts:
-            beside = _dominating(j, counts, capacity)
-            if beside is None:
-                break
-            pattern: dict[int, int] = {}
-            for s in [j, *beside]:
-                pattern[s] = pattern.get(s, 0) + 1
-            n = _take(pattern, counts)
-            patterns.append((pattern, n))
-            fixed += n
-    while counts:
-        sizes = sorted(counts, reverse=True)
-        pattern, room = {sizes[0]: 1}, capacity - sizes[0]
-        while room:
-            left = [s for s in sizes if s <= room and counts[s] > pattern.get(s, 0)]
-            if not left:
-                break
-            have = set(left)
-            chosen = left[0]
-            if chosen < room <= 2 * left[0]:  # a pair that fills the room better than the largest item alone
-                usable = (s for s in left if (room - s) in have and (room - s != s or counts[s] > pattern.get(s, 0) + 1))
-                chosen = next(usable, chosen)
-            pattern[chosen] = pattern.get(chosen, 0) + 1
-            room -= chosen
-        patterns.append((pattern, _take(pattern, counts)))
-    return patterns, fixed
+    fixed = _reduce(counts, capacity)
+    return fixed + _best_fit(counts, capacity), sum(n for _, n in fixed)
 
 
 def _slots(patterns: list[Pattern], first: int) -> dict[int, np.ndarray]:

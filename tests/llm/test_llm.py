@@ -340,3 +340,46 @@ def test_queries_run(spark, data, name):
     if name in COLUMNS:
         assert [f"{c} {t}" for c, t in df.dtypes] == COLUMNS[name]
     assert df.count() > 0
+
+
+def _fewest(items, capacity):
+    """The least number of containers, over all subsets of at most nine items."""
+    states = [(0, capacity)] + [(99, 0)] * ((1 << len(items)) - 1)
+    for m, (n, load) in enumerate(states):
+        for i, size in enumerate(items):
+            if not m >> i & 1:
+                states[m | 1 << i] = min(states[m | 1 << i], (n, load + size) if load + size <= capacity else (n + 1, size))
+    return states[-1][0]
+
+
+def test_fixed_containers_never_cost_one_and_the_rest_is_best_fit():
+    rng = random.Random(5)
+    for _ in range(4000):
+        capacity = rng.randrange(10, 41)
+        items = [rng.randrange(1, capacity + 1 if rng.random() < 0.6 else capacity // 2 + 1) for _ in range(rng.randrange(1, 9))]
+        rest = dict(Counter(items))
+        fixed = sum(n for _, n in containers._reduce(rest, capacity))
+        left = sorted((s for s, n in rest.items() for _ in range(n)), reverse=True)
+        assert fixed + _fewest(left, capacity) == _fewest(items, capacity), (capacity, items)
+        loads: list[int] = []
+        for s in left:
+            fitting = [b for b in loads if b + s <= capacity]
+            if fitting:
+                loads.remove(max(fitting))
+            loads.append(max(fitting, default=0) + s)
+        patterns, n_fixed = containers.plan_containers(Counter(items), capacity)
+        assert n_fixed == fixed and sum(n for _, n in patterns) == fixed + len(loads)
+    assert containers.dominating(10, {10: 1, 8: 1, 3: 3}, 20) is None  # three of size 3 take more than the 8
+
+
+def test_large_histograms_are_planned_near_the_lower_bound():
+    rng = random.Random(3)
+    histogram = Counter({s: rng.randrange(1, 10**6) for s in rng.sample(range(1, 2049), 1500)})
+    patterns, _ = containers.plan_containers(histogram, 2048)
+    used = Counter()
+    for p, n in patterns:
+        assert sum(s * k for s, k in p.items()) <= 2048
+        for s, k in p.items():
+            used[s] += k * n
+    large = sum(n for s, n in histogram.items() if 2 * s > 2048)
+    assert used == histogram and sum(n for _, n in patterns) <= 1.01 * max(large, sum(s * n for s, n in histogram.items()) / 2048)
