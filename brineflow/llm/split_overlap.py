@@ -1,13 +1,17 @@
 """Same or near-same records across splits, found through compressed full-text indexes of the evaluation records.
 
-Texts are first collapsed to classes of equal word sets, equal contents and equal entries. Each class is a sequence
-of symbols in one global order, rare words first. If two word sets have a similarity of t, they share a symbol among
-the first n - ceil(t n) + 1 of either (prefix filter), so only these prefixes are indexed and searched. An evaluation
-shard indexes the prefixes that hold a symbol of its hash range; training prefixes are streamed through the shard of
-each of their symbols by backward search, which yields for every meeting its maximal match. Matches are merged per
-pair of classes, and an exact check of the word sets follows. A symbol with many classes is cut into cells of at
-most CELL x CELL, in shards of their own, so neither a task nor the driver holds an unbounded group. Symbols that
-only one side has never reach a shard.
+Texts are first collapsed to classes of equal word sets, equal contents and equal entries. Each class is a sequence of
+distinct symbols in one global order, rare words first, so what two sequences have in common is the sum of their
+maximal matches: every common symbol lies in exactly one. Backward search of a training sequence in the index of the
+evaluation sequences yields those matches with their spans; merged per pair of classes, the spans decide the pair.
+
+If two word sets have a similarity of t, they share a symbol among the first n - ceil(t n) + 1 of either (prefix filter),
+and from their first common one on they have all of what they share. So a sequence is sent, from that symbol on, to the
+shard of each of its prefix symbols that the other side has as well; a shard indexes its evaluation sequences and
+streams its training sequences through. A pair meets in the shard of each symbol its prefixes share; at the first of
+them the sum is whole, at the others it is less, so no pair is lost and none is accepted wrongly. A symbol with
+many classes is cut into cells of at most CELL x CELL, in shards of their own, so neither a task nor the driver holds
+an unbounded group.
 
 Defined results: null splits take no part; null and blank text has neither words nor content; a null or blank entry
 matches nothing; repeated rows give their own pairs; any order of equals is by id.
@@ -19,21 +23,23 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brineflow.llm.backward_index import BackwardIndex
 from brineflow.llm.related_splits import entry_key
-from brineflow.operators.joins import heavy_light_join
+from brineflow.operators.joins import HEAVY_SHARE, heavy_light_join
 from brineflow.operators.packed import content_column
 from brineflow.runtime.session import parallelism, ship_code, spread, written
 
 WORD = r"(?:[\p{L}\p{N}]|(?<=\p{Nd})[.,](?=\p{Nd}))++"
-COMMON_WORDS = 4096
+#: Counters of word frequencies, by hash: all words are counted, those that share a counter count together.
+FREQUENCY_BUCKETS = 1 << 20
 CELL = 1000
 ROWS_PER_SHARD = 20_000
+#: Records of a class that are joined as one block.
+BLOCK = 50_000
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -47,139 +53,151 @@ def _records(df: DataFrame, record: str, text: str, entry: str, split: str, sour
     ).where(F.col(split).isin("train", "val", "test"))
     with_content = content_column(spread(rows), "text", "source")
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))))
+    whole = lambda c, kind: F.when(F.col(c).isNotNull(), F.unhex(F.md5(F.concat(F.lit(kind), F.col(c)))))
     return written(
-        with_content.select(
+        with_content.withColumn("words", words).select(
             "record_id", "train",
-            F.when(F.size(words) > 0, words).alias("words"),
-            F.when(F.size(words) > 0, F.unhex(F.md5(F.array_join(words, " ")))).alias("word_class"),
-            F.unhex(F.md5("content")).alias("content_class"),
-            F.unhex(F.md5("entry")).alias("entry_class"),
+            F.when(F.size("words") > 0, F.unhex(F.md5(F.array_join("words", " ")))).alias("word_class"),
+            F.when(F.size("words") > 0, F.transform("words", lambda w: F.xxhash64(w))).alias("symbols"),
+            F.array_compact(F.array(whole("content", "content "), whole("entry", "entry "))).alias("other_classes"),
         ),
         "records",
     )
 
 
-def _seeds(classes: DataFrame, similarity: float, common: dict[int, int]) -> DataFrame:
-    """(symbol, tail, n, class_id, train): for each class and side one row per prefix symbol, with the prefix from that symbol on."""
-    ordered = sorted(common)
-    known = np.array(ordered, dtype=np.int64)
-    ranks = np.array([common[h] for h in ordered], dtype=np.int64)
+def _bucket(symbol: np.ndarray) -> np.ndarray:
+    return symbol & (FREQUENCY_BUCKETS - 1)
+
+
+def word_frequencies(records: DataFrame) -> np.ndarray:
+    """Occurrences by counter, over all records; the driver gets at most FREQUENCY_BUCKETS numbers."""
+    bucket = F.col("s").bitwiseAND(F.lit(FREQUENCY_BUCKETS - 1))
+    counted = records.select(F.explode("symbols").alias("s")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(FREQUENCY_BUCKETS, dtype=np.int64)
+    out[counted.column("b").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def _ordered(classes: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """`classes` with the symbols in the global order: rare words first, ties by hash."""
+    shared = classes.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, trains, evals = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for cid, hashes, is_train, is_eval in zip(ids, b.column(1), trains, evals):
-                h = np.asarray(hashes.values, dtype=np.int64)
-                rank = np.zeros(len(h), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, ranks[at], 0)
-                prefix = h[np.lexsort((h, rank))][: prefix_length(len(h), similarity)].tolist()
-                for i, s in enumerate(prefix):
-                    for side in (True,) * bool(is_train) + (False,) * bool(is_eval):
-                        for column, x in zip(out, (s, prefix[i:], len(h), cid, side)):
-                            column.append(x)
-            types = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["symbol", "tail", "n", "class_id", "train"])
-
-    return classes.select("class_id", "symbols", "is_train", "is_eval").mapInArrow(run, "symbol bigint, tail array<bigint>, n int, class_id binary, train boolean")
-
-
-def _search(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs of classes of one shard with the span of each maximal match."""
-    empty = pd.DataFrame({"eval_class": [], "train_class": [], "span": []})
-    evaluation, training = group[~group["train"]], group[group["train"]]
-    if evaluation.empty or training.empty:
-        return empty
-    seeds = {k: i + 1 for i, k in enumerate(dict.fromkeys(zip(evaluation["symbol"], evaluation["cell"])))}
-    follow: dict[int, int] = {}
-    lengths, flat = np.empty(len(evaluation), dtype=np.int64), []
-    for k, (symbol, cell, tail) in enumerate(zip(evaluation["symbol"], evaluation["cell"], evaluation["tail"])):
-        rest = [follow.setdefault(int(x), len(seeds) + 1 + len(follow)) for x in tail[1:]]
-        flat += rest[::-1]  # reversed, so that a backward search starts at the seed and goes on to the next symbols
-        flat.append(seeds[symbol, cell])
-        lengths[k] = len(rest) + 1
-    index = BackwardIndex(np.array(flat, dtype=np.int64), lengths)
-    sizes = training["tail"].map(len).to_numpy()
-    patterns = np.full((len(training), int(sizes.max())), -1, dtype=np.int64)
-    for k, (symbol, cell, tail) in enumerate(zip(training["symbol"], training["cell"], training["tail"])):
-        patterns[k, 0] = seeds.get((symbol, cell), -1)
-        for i, x in enumerate(tail[1:], 1):
-            patterns[k, i] = follow.get(int(x), -1)
-    known = patterns[:, 0] > 0
-    which, owner, span = index.maximal_matches(patterns[known], sizes[known])
-    n_train, n_eval = training["n"].to_numpy()[known][which], evaluation["n"].to_numpy()[owner]
-    near = np.minimum(n_train, n_eval) >= similarity * np.maximum(n_train, n_eval) - 1e-9
-    found = pd.DataFrame({"e": owner[near], "t": which[near], "span": span[near]})
-    return pd.DataFrame({
-        "eval_class": evaluation["class_id"].to_numpy()[found["e"]],
-        "train_class": training["class_id"].to_numpy()[known][found["t"]],
-        "span": found["span"].astype(np.int64),
-    })
+            lists = b.column(1)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy()
+            order = np.lexsort((flat, shared.value[_bucket(flat)], np.repeat(np.arange(len(lengths)), lengths)))
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat[order])), *b.columns[2:]], schema=b.schema)
+
+    return classes.mapInArrow(run, classes.schema)
+
+
+def _search(table: pa.Table, similarity: float) -> pa.Table:
+    """Pairs of classes of one shard, decided by the merged spans of their maximal matches."""
+    names, types = ["eval_class", "train_class", "n_spans", "longest", "common"], [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    schema = pa.schema(list(zip(names, types)))
+    table = table.combine_chunks()
+    train = table.column("train").to_numpy()
+    if train.all() or not train.any():
+        return schema.empty_table()
+    tails = table.column("tail").combine_chunks()
+    lengths = tails.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    # symbols of different cells are different, so sequences meet within their cell only
+    cell = np.unique(table.column("cell").to_numpy(), return_inverse=True)[1]
+    known, symbol = np.unique(tails.flatten().to_numpy(), return_inverse=True)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    key = cell[row] * len(known) + symbol
+    of_eval = ~train[row]
+    used, flat = np.unique(key[of_eval], return_inverse=True)
+    # sequences are indexed from the last symbol to the first, so that a backward search goes on to the next symbols
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.lexsort((-place[of_eval], row[of_eval]))
+    evaluation, training = np.flatnonzero(~train), np.flatnonzero(train)
+    index = BackwardIndex(flat[order] + 1, lengths[evaluation])
+    at = np.minimum(np.searchsorted(used, key[~of_eval]), len(used) - 1)
+    patterns = np.full((len(training), int(lengths[training].max())), -1, dtype=np.int64)
+    patterns[(np.cumsum(train) - 1)[row[~of_eval]], place[~of_eval]] = np.where(used[at] == key[~of_eval], at + 1, -1)
+    which, owner, span = index.maximal_matches(patterns, lengths[training], anywhere=True)
+    pair, inverse = np.unique(which * len(evaluation) + owner, return_inverse=True)
+    common = np.bincount(inverse, weights=span, minlength=len(pair)).astype(np.int64)
+    longest = np.zeros(len(pair), dtype=np.int64)
+    np.maximum.at(longest, inverse, span)
+    t, e = training[pair // len(evaluation)], evaluation[pair % len(evaluation)]
+    n = table.column("n").to_numpy().astype(np.int64)
+    near = common >= similarity * (n[t] + n[e] - common) - 1e-9
+    ids = table.column("class_id").combine_chunks()
+    columns = [ids.take(pa.array(e[near])), ids.take(pa.array(t[near])), np.bincount(inverse, minlength=len(pair))[near], longest[near], common[near]]
+    return pa.table([pa.array(c, k) if isinstance(c, np.ndarray) else c.cast(k) for c, k in zip(columns, types)], schema=schema)
 
 
 def class_matches(classes: DataFrame, similarity: float) -> DataFrame:
-    """(eval_class, train_class, n_matches, longest): candidate pairs of classes (class_id, symbols, is_train, is_eval)."""
+    """(eval_class, train_class, n_spans, longest, common): the pairs of classes (class_id, symbols, is_train, is_eval) that are near, symbols in one order."""
     spark = classes.sparkSession
     ship_code(spark)
-    top = classes.select(F.explode("symbols").alias("s")).agg(F.expr(f"approx_top_k(s, {COMMON_WORDS}, {COMMON_WORDS * 16})").alias("top")).first()["top"] or []
-    common = {t["item"]: i + 1 for i, t in enumerate(sorted(top, key=lambda t: (t["count"], t["item"]))) if t["count"] > 1}
-    seeds = written(_seeds(classes, similarity, common), "seeds")
-    sides = seeds.groupBy("symbol").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval"))
+    n = F.size("symbols")
+    prefix = n - F.ceil(F.lit(similarity) * n - F.lit(1e-9)).cast("int") + 1
+    seeds = classes.select("class_id", "is_train", "is_eval", F.posexplode(F.slice("symbols", 1, prefix)).alias("place", "symbol"))
+    sides = seeds.groupBy("symbol").agg(F.count_if("is_train").alias("n_train"), F.count_if("is_eval").alias("n_eval"))
     shared = written(sides.where("n_train > 0 AND n_eval > 0"), "symbols")
     total = shared.agg(F.sum(F.col("n_train") + F.col("n_eval"))).first()[0] or 0
     shards = max(parallelism(spark), math.ceil(total / ROWS_PER_SHARD))
-    own = F.pmod(F.xxhash64("class_id"), F.when(F.col("train"), F.ceil(F.col("n_train") / CELL)).otherwise(F.ceil(F.col("n_eval") / CELL)))
-    others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("train"), F.ceil(F.col("n_eval") / CELL)).otherwise(F.ceil(F.col("n_train") / CELL)) - 1)
+    side = F.explode(F.array_compact(F.array(F.when(F.col("is_train"), True), F.when(F.col("is_eval"), False)))).alias("train")
+    met = heavy_light_join(seeds, shared, "symbol", "inner").select("class_id", "symbol", "place", "n_train", "n_eval", side)
+    met = met.select("class_id", "symbol", "place", "train", F.ceil(F.col("n_train") / CELL).alias("cells_train"), F.ceil(F.col("n_eval") / CELL).alias("cells_eval"))
+    own = F.pmod(F.xxhash64("class_id"), F.when(F.col("train"), F.col("cells_train")).otherwise(F.col("cells_eval")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("train"), F.col("cells_eval")).otherwise(F.col("cells_train")) - 1)
+    e, t = F.when(F.col("train"), F.col("other")).otherwise(F.col("own")), F.when(F.col("train"), F.col("own")).otherwise(F.col("other"))
     placed = (
-        heavy_light_join(seeds, shared, "symbol", "inner")
-        .withColumn("own", own)
+        met.withColumn("own", own)
         .withColumn("other", F.explode(others))
-        .withColumn("cell", F.when(F.col("train"), F.struct(F.col("other").alias("e"), F.col("own").alias("t"))).otherwise(F.struct(F.col("own").alias("e"), F.col("other").alias("t"))))
-        .select("symbol", "tail", "n", "class_id", "train", F.xxhash64("cell.e", "cell.t").alias("cell"))
-        .withColumn("shard", F.pmod(F.xxhash64("symbol", "cell"), F.lit(shards)))
+        .select("class_id", "place", "train", F.xxhash64("symbol", e, t).alias("cell"))
+        .join(classes.select("class_id", "symbols"), "class_id")
+        .select("class_id", "train", "cell", F.size("symbols").alias("n"), F.slice("symbols", F.col("place") + 1, F.size("symbols")).alias("tail"))
+        .withColumn("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)))
     )
-    matches = placed.groupBy("shard").applyInPandas(lambda g: _search(g, similarity), "eval_class binary, train_class binary, span bigint")
-    return matches.groupBy("eval_class", "train_class").agg(F.count(F.lit(1)).alias("n_matches"), F.max("span").alias("longest"))
+    found = placed.groupBy("shard").applyInArrow(lambda x: _search(x, similarity), "eval_class binary, train_class binary, n_spans bigint, longest bigint, common bigint")
+    # in the shard of the first common symbol the spans are whole, and more than in any other
+    best = F.max(F.struct("common", "n_spans", "longest")).alias("m")
+    return found.groupBy("eval_class", "train_class").agg(best).select("eval_class", "train_class", "m.n_spans", "m.longest", "m.common")
+
+
+def _in_blocks(pairs: DataFrame, members: DataFrame, side: str) -> DataFrame:
+    """`pairs` with the records of the class in column `side`; a class above BLOCK records is cut into blocks that are joined one by one."""
+    large = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
+    blocks = written(large.select("class_id", F.ceil(F.col("_n") / BLOCK).alias("_blocks")), "blocks")
+    heavy = [bytes(r["class_id"]) for r in blocks.orderBy(F.desc("_blocks"), "class_id").limit(int(1 / HEAVY_SHARE)).collect()]
+    whole = F.coalesce("_blocks", F.lit(1).cast("bigint"))
+    of_members = heavy_light_join(members, blocks, "class_id", heavy=heavy).withColumn("_block", F.pmod(F.xxhash64("record_id"), whole)).drop("_blocks")
+    of_pairs = heavy_light_join(pairs.withColumnRenamed(side, "class_id"), blocks, "class_id", heavy=heavy).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1))).drop("_blocks")
+    return of_pairs.join(of_members.withColumnRenamed("record_id", side.replace("class", "id")), ["class_id", "_block"]).drop("class_id", "_block")
 
 
 def cross_split_pairs(df: DataFrame, record: str, text: str, entry: str, split: str, source: str, similarity: float = 0.8) -> DataFrame:
-    """(eval_id, train_id) of every evaluation record and training record with equal content, near-equal words or the same entry."""
+    """(eval_id, train_id, n_spans, longest, common) of every evaluation record and training record with equal content, near-equal words or the same entry.
+
+    The last three are the merged spans of what they share: how many, the longest, and their sum, in symbols; of
+    equal contents and entries the whole is one symbol, and the largest counts if a pair is tied in several ways.
+    """
     records = _records(df, record, text, entry, split, source)
     sides = [F.max("train").alias("is_train"), F.max(~F.col("train")).alias("is_eval")]
-    word_classes = written(
-        records.where("word_class IS NOT NULL").groupBy(F.col("word_class").alias("class_id")).agg(F.any_value("words").alias("words"), *sides), "classes"
-    )
-    classes = word_classes.select("class_id", F.transform("words", lambda w: F.xxhash64(w)).alias("symbols"), "is_train", "is_eval")
-    for kind in ("content_class", "entry_class"):
-        one = records.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("class_id")).agg(*sides)
-        symbol = F.array(F.xxhash64(F.lit(kind), F.col("class_id")))
-        classes = classes.unionByName(one.select(F.concat(F.col("class_id"), F.lit(kind[:1]).cast("binary")).alias("class_id"), symbol.alias("symbols"), "is_train", "is_eval"))
+    by_words = records.where("word_class IS NOT NULL").groupBy(F.col("word_class").alias("class_id")).agg(F.any_value("symbols").alias("symbols"), *sides)
+    others = records.select(F.explode("other_classes").alias("class_id"), "train").groupBy("class_id").agg(*sides)
+    others = others.select("class_id", F.array(F.xxhash64("class_id")).alias("symbols"), "is_train", "is_eval")
+    classes = written(_ordered(by_words, word_frequencies(records)).unionByName(others), "classes")
     matches = written(class_matches(classes, similarity), "matches")
-    words_of = word_classes.select("class_id", "words")
-    near = (
-        matches.where(F.length("eval_class") == 16).where(F.length("train_class") == 16)
-        .join(words_of.select(F.col("class_id").alias("eval_class"), F.col("words").alias("a")), "eval_class")
-        .join(words_of.select(F.col("class_id").alias("train_class"), F.col("words").alias("b")), "train_class")
-        .withColumn("both", F.size(F.array_intersect("a", "b")))
-        .where(F.col("both") >= F.lit(similarity) * (F.size("a") + F.size("b") - F.col("both")) - 1e-9)
-        .select("eval_class", "train_class")
-    )
-    same = matches.where((F.length("eval_class") == 17) & (F.col("eval_class") == F.col("train_class"))).select("eval_class", "train_class")
-    kinds = {"content_class": "c", "entry_class": "e"}
-    member = records.select("record_id", "train", F.explode(F.array_compact(F.array(
-        F.col("word_class"), *[F.concat(F.col(k), F.lit(c).cast("binary")) for k, c in kinds.items()]
-    ))).alias("class_id"))
-    pairs = near.unionByName(same)
-    out = pairs.join(member.where(~F.col("train")).select(F.col("class_id").alias("eval_class"), F.col("record_id").alias("eval_id")), "eval_class").join(
-        member.where("train").select(F.col("class_id").alias("train_class"), F.col("record_id").alias("train_id")), "train_class"
-    )
-    return out.select("eval_id", "train_id").distinct()
+    members = records.select("record_id", "train", F.explode(F.array_compact(F.concat(F.array("word_class"), "other_classes"))).alias("class_id"))
+    out = _in_blocks(matches, members.where(~F.col("train")).select("class_id", "record_id"), "eval_class")
+    out = _in_blocks(out, members.where("train").select("class_id", "record_id"), "train_class")
+    best = F.max(F.struct("common", "n_spans", "longest")).alias("m")
+    return out.groupBy("eval_id", "train_id").agg(best).select("eval_id", "train_id", "m.n_spans", "m.longest", "m.common")
 
 
 def overlap_report(df: DataFrame, record: str, text: str, entry: str, split: str, source: str, similarity: float = 0.8) -> DataFrame:
-    """(split, source, n_pairs, n_records): overlaps with training per evaluation split and source."""
-    pairs = cross_split_pairs(df, record, text, entry, split, source, similarity).groupBy("eval_id").agg(F.count(F.lit(1)).alias("n"))
+    """(split, source, n_pairs, n_records, n_spans, longest): overlaps with training per evaluation split and source, with the matches they rest on."""
+    pairs = cross_split_pairs(df, record, text, entry, split, source, similarity)
+    pairs = pairs.groupBy("eval_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_spans").alias("n_spans"), F.max("longest").alias("longest"))
     named = df.select(F.col(record).alias("eval_id"), F.col(split).alias("split"), F.col(source).alias("source"))
-    return pairs.join(named, "eval_id").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_records"))
+    total = [F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_records"), F.sum("n_spans").alias("n_spans"), F.max("longest").alias("longest")]
+    return pairs.join(named, "eval_id").groupBy("split", "source").agg(*total)

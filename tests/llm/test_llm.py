@@ -383,3 +383,40 @@ def test_large_histograms_are_planned_near_the_lower_bound():
             used[s] += k * n
     large = sum(n for s, n in histogram.items() if 2 * s > 2048)
     assert used == histogram and sum(n for _, n in patterns) <= 1.01 * max(large, sum(s * n for s, n in histogram.items()) / 2048)
+
+
+def test_spans_of_all_maximal_matches_add_up_to_what_is_shared():
+    rng = random.Random(11)
+    sequences = [sorted(rng.sample(range(1, 30), rng.randrange(1, 15))) for _ in range(60)]
+    patterns = [sorted(rng.sample(range(1, 34), rng.randrange(1, 15))) for _ in range(40)]
+    # indexed from the last symbol to the first: the search goes on to the next symbols
+    index = backward_index.BackwardIndex(np.concatenate([s[::-1] for s in sequences]), np.array([len(s) for s in sequences]))
+    matrix = np.full((len(patterns), 15), -1)
+    for i, p in enumerate(patterns):
+        matrix[i, : len(p)] = [x if x < 30 else -1 for x in p]
+    got: dict = defaultdict(list)
+    for p, s, n in zip(*(x.tolist() for x in index.maximal_matches(matrix, np.array([len(p) for p in patterns]), anywhere=True))):
+        got[p, s].append(n)
+    for p, pattern in enumerate(patterns):
+        for s, sequence in enumerate(sequences):
+            runs, last = [], (-2, -2)
+            for x in sorted(set(pattern) & set(sequence)):
+                here = (pattern.index(x), sequence.index(x))
+                if here == (last[0] + 1, last[1] + 1):
+                    runs[-1] += 1
+                else:
+                    runs.append(1)
+                last = here
+            assert sorted(got[p, s]) == sorted(runs)
+
+
+def test_overlap_report_counts_pairs_and_spans(spark, monkeypatch):
+    texts = ["alpha beta gamma delta epsilon", "alpha beta gamma delta epsilon zeta", "alpha beta gamma delta", "one two", "two, one", None, "", "eta theta"]
+    rows_ = [(i, t, "E1" if i in (3, 7) else None, "train" if i % 2 else "val" if i < 6 else "test", "s") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows_ + [(i, "hot word set", None, "train" if i % 3 else "test", "h") for i in range(100, 160)], "record_id bigint, raw_details string, pdb_id string, split string, source string")
+    arguments = ("record_id", "raw_details", "pdb_id", "split", "source")
+    report = lambda: rows(split_overlap.overlap_report(df, *arguments), "split", "source", "n_pairs", "n_records", "longest")
+    want = report()
+    assert ("test", "h", 20 * 40, 20, 3) in want and ("val", "s", 2, 2, 5) in want
+    monkeypatch.setattr(split_overlap, "BLOCK", 7)  # classes above seven records are joined in blocks
+    assert report() == want
