@@ -3,7 +3,9 @@
 A frequent-items sketch over all rows detects heavy terms (at most HEAVY_TERMS a field, so what is broadcast is
 bounded). Heavy terms are counted exactly in local counter arrays in each Arrow task, which emits its counters and,
 for distinct records, Roaring-like chunks of record ids (a bitmap or a sorted array per 65,536 ids, whichever is
-smaller). Only the remaining light terms are shuffled as rows, and no light term is hot. Both tables are united.
+smaller); chunks of one term are united in a tree of groups of at most FAN_IN tasks. Only the remaining light terms are
+shuffled as rows, and no light term is hot; most of their rows are the only one of their term and record, so counting
+them before the shuffle would not make them fewer. Both tables are united.
 The sketch decides the route of a term only; counts on either route are exact.
 
 Defined results: null and blank are no terms; a null record id counts as a row and not as a record; an empty table
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ HEAVY_TERMS = 512
 #: A term is heavy if it holds at least this share of the rows of its field.
 HEAVY_SHARE = 0.001
 _CHUNK = 1 << 16
+#: Chunks of one term and range of ids that are united in one call.
+FAN_IN = 64
 _BLANKS = "[\\s\\u001c-\\u001f]+"
 
 
@@ -83,6 +88,7 @@ def count_terms(df: DataFrame, fields: list[str], record: str) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(len(keys), dtype=np.int64)
+        task = TaskContext.get().partitionId()
         seen: dict[int, list[np.ndarray]] = {}
         for b in batches:
             pairs = zip(b.column(1).to_pylist(), b.column(2).to_pylist())
@@ -102,30 +108,38 @@ def count_terms(df: DataFrame, fields: list[str], record: str) -> DataFrame:
             places = np.flatnonzero(np.diff(high, prepend=high[0] - 1))
             out += [(k, int(high[a]), 0, _chunk_bytes(ids[a:z] & 0xFFFF)) for a, z in zip(places, [*places[1:], len(ids)])]
             if len(out) > 4096:
-                yield _batch(out)
+                yield _batch(out, task)
                 out = []
-        yield _batch(out)
+        yield _batch(out, task)
 
-    def merged(chunks: pd.Series) -> int:
+    def both(chunks: pd.Series) -> bytes:
         bits = np.zeros(_CHUNK, dtype=bool)
         for c in chunks:
             bits |= _chunk_bits(c)
-        return int(bits.sum())
+        return _chunk_bytes(np.flatnonzero(bits))
 
-    parts = terms.where(is_heavy).mapInArrow(local, "k bigint, chunk bigint, n_rows bigint, ids binary")
+    def ones(chunks: pd.Series) -> int:
+        return int(_chunk_bits(both(chunks)).sum())
+
+    hot = terms.where(is_heavy)
+    parts = hot.mapInArrow(local, "task bigint, k bigint, chunk bigint, n_rows bigint, ids binary")
     n_rows = parts.where(F.col("ids").isNull()).groupBy("k").agg(F.sum("n_rows").alias("n_rows"))
-    # a group holds one chunk of at most 8 KiB a task
-    united = F.pandas_udf(merged, "bigint")
-    per_chunk = parts.where(F.col("ids").isNotNull()).groupBy("k", "chunk").agg(united(F.col("ids")).alias("n"))
+    # a group of either step holds at most FAN_IN chunks of 8 KiB
+    chunks, tasks = parts.where(F.col("ids").isNotNull()), hot.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        chunks = chunks.groupBy("k", "chunk", F.floor(F.col("task") / FAN_IN).alias("task")).agg(F.pandas_udf(both, "binary")(F.col("ids")).alias("ids"))
+        tasks = -(-tasks // FAN_IN)
+    per_chunk = chunks.groupBy("k", "chunk").agg(F.pandas_udf(ones, "bigint")(F.col("ids")).alias("n"))
     n_records = per_chunk.groupBy("k").agg(F.sum("n").alias("n_records"))
     names = df.sparkSession.createDataFrame([(i, f, t) for i, (f, t) in enumerate(keys)], "k bigint, field string, term string")
     heavy_counts = n_rows.join(n_records, "k", "left").join(F.broadcast(names), "k").select("field", "term", "n_rows", F.coalesce("n_records", F.lit(0)).alias("n_records"))
     return heavy_counts.unionByName(light)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], task: int) -> pa.RecordBatch:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["k", "chunk", "n_rows", "ids"])
+    columns = [pa.array([task] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]]
+    return pa.RecordBatch.from_arrays(columns, names=["task", "k", "chunk", "n_rows", "ids"])
 
 
 def marked_terms(df: DataFrame, fields: list[str], record: str, rare: int = 2, common: float = 0.05) -> DataFrame:

@@ -94,6 +94,8 @@ def test_term_counts(spark, monkeypatch):
                 want[1][f, t].add(r)
     got = {(r["field"], r["term"]): (r["n_rows"], r["n_records"]) for r in term_counts.count_terms(df, ["a", "b"], "record_id").collect()}
     assert got == {k: (n, len(want[1][k])) for k, n in want[0].items()}
+    monkeypatch.setattr(term_counts, "FAN_IN", 2)  # chunks of five tasks are united in three steps
+    assert {(r["field"], r["term"]): (r["n_rows"], r["n_records"]) for r in term_counts.count_terms(df, ["a", "b"], "record_id").collect()} == got
     assert term_counts.heavy_terms(df.select(F.lit("a").alias("field"), term_counts.normal_term(F.col("a")).alias("term"))).keys() >= {("a", "hot term")}
     assert term_counts.marked_terms(df.limit(0), ["a"], "record_id").count() == 0
     nulls = spark.createDataFrame([("x", None), ("x", 1)], "a string, record_id bigint")
