@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brineflow.operators.packed import content_column
+from brineflow.runtime.session import written
 
 
 def collapse(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -27,8 +28,9 @@ def collapse(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         .groupBy("text", "source")
         .agg(F.min("record_id").alias("record_id"), F.count(F.lit(1)).alias("n"))
     )
+    # both passes of the splitter read the survivors, so they are collapsed once
     return (
-        content_column(raw, "text", "source")
+        content_column(written(raw, "distinct"), "text", "source")
         .where(F.col("content").isNotNull())
         .groupBy("content")
         .agg(F.min("record_id").alias("record_id"), F.sum("n").alias("n_copies"))
