@@ -2,7 +2,9 @@
 
 Names and list are brought to one normal form (case, punctuation, units, spelling variants of the domain). A
 multi-pattern automaton over all display names, aliases and ids finds embedded mentions at word bounds; the longest
-non-overlapping match wins. Values without one go to token-set similarity: word order does not matter, words pair
+non-overlapping match wins, unless it is only a part of another name: what stands right before it looks like chemistry,
+or it is followed by a noun that it only qualifies (a kinase, an inhibitor). Words behind a function word or a verb form
+("in water", "used as", "from ...") say nothing about the name. Values without a mention go to token-set similarity: word order does not matter, words pair
 with their closest counterpart by edits, numbers must agree. Values below the threshold, and those about as close to
 two entries, are unmatched.
 
@@ -54,11 +56,22 @@ CATIONS = {
     "na": "sodium", "k": "potassium", "nh4": "ammonium", "li": "lithium", "mg": "magnesium", "ca": "calcium", "zn": "zinc", "cd": "cadmium", "ni": "nickel",
     "co": "cobalt", "mn": "manganese", "cs": "cesium",
 }
-#: Words beside a name that do not belong to it.
+#: Words of preparation beside a name that do not belong to it.
 FILLERS = frozenset(
     "of de der die das du la le des and fresh buffered buffer solution stock sterile filtered hydrate anhydrous adjusted see note reagent grade ultra pure ph free acid "
     "salt cold new final approx overnight saturated crystalline powder naoh hcl koh".split()
 )
+#: Function words of four languages; what follows one is another phrase.
+FUNCTION_WORDS = frozenset(
+    "of in from as for with by to at on per via into within under after before without using plus or than about ca "
+    "mit aus von zu zum zur im am bei nach vor ohne als oder auf dans par pour avec sans sur dont ou au aux en "
+    "de du des con por para sin sobre del al como desde hasta el los las".split()
+)
+#: Endings of words of chemistry and biochemistry.
+_CHEMICAL = re.compile(r"(?:ol|yl|ate|ite|ide|ine|ane|ene|yne|one|ose|ase|oic|ium|amide|idase|onic|uric|at|id|ato|uro|ure)$")
+_VERB_FORM = re.compile(r"[a-z]{2,}(?:ed|ing)$")
+#: Mentions of up to this many letters are also words of other languages and count in running text only if written with a capital.
+_SHORT = 4
 _MORE = frozenset(["mme", "monomethyl", "ether", "propane"])
 _CATION_WORDS = sorted({*CATIONS.values(), *(w for w, form in WORD_FORMS.items() if form in CATIONS.values())})
 _COMPOUND = re.compile(rf"({'|'.join(_CATION_WORDS)})([a-z]{{5,}})$")
@@ -87,7 +100,15 @@ def normal(name: str, family: bool = True) -> list[str]:
         else:
             words += WORD_FORMS.get(w, w).split()
     if "mme" in words and "peg" in words:  # one order: peg mme number
-        words = ["peg", "mme", *[w for w in words if w not in ("peg", "mme")]]
+        a = z = words.index("peg")
+        while a > 0 and (words[a - 1] == "mme" or words[a - 1].isdigit()):
+            a -= 1
+        while z + 1 < len(words) and (words[z + 1] == "mme" or words[z + 1].isdigit()):
+            z += 1
+        if "mme" in words[a : z + 1]:
+            words[a : z + 1] = ["peg", "mme", *[w for w in words[a : z + 1] if w not in ("peg", "mme")]]
+        else:
+            words = ["peg", "mme", *[w for w in words if w not in ("peg", "mme")]]
     return words
 
 
@@ -246,8 +267,6 @@ class Matcher:
     @staticmethod
     def _sets(a: list[str], b: tuple[str, ...]) -> float:
         """Similarity of two sets of words, each word paired with its closest free counterpart; abbreviated words count by their start."""
-        if abs(len(a) - len(b)) > 1:
-            return 0.0
         free, total, weight = list(b), 0.0, 0
         for w in sorted(a, key=len, reverse=True):
             scored = [(1.0 if w == x else 0.9 if len(w) > 3 and x.startswith(w) else _word_score(w, x), x) for x in free]
@@ -270,17 +289,34 @@ class Matcher:
         bare = without_unit(name)
         words = normal(bare)
         found = self.mentioned(words)
-        result = found[0][2] if found and self._covers(words, found) else self.closest(bare)
+        result = found[0][2] if found and self._names(name, words, found) else self.closest(bare)
         self.known[name] = result
         return result
 
-    def _covers(self, words: list[str], found: list[tuple[int, int, str]]) -> bool:
-        """Whether the words outside the mentions are fillers or codes; a mention inside another name is none."""
+    def _names(self, name: str, words: list[str], found: list[tuple[int, int, str]]) -> bool:
+        """Whether the mentions are what the name is about, not parts of another name."""
         text = f" {' '.join(words)} "
-        for start, length, _ in found:
-            text = text[:start] + " " * length + text[start + length :]
-        rest = [w for w in text.split() if w not in FILLERS]
-        return not any(w.isalpha() and len(w) > 2 or w in self.words or w.isdigit() for w in rest)
+        spans = sorted((start, start + length) for start, length, _ in found)
+        rest = [text[a:b].split() for a, b in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(text)])]
+        before, others = rest[0], rest[1:]
+        plain = lambda w: w in FILLERS or w not in self.words and not w.isdigit() and (not w.isalpha() or len(w) < 3)
+        if all(plain(w) for part in rest for w in part):
+            return True
+        mention = text[found[0][0] : found[0][0] + found[0][1]].strip()
+        if len(mention) <= _SHORT and not any(w.lower() == mention and w != mention for w in re.findall(r"(?<![\w-])\w+(?![\w-])", name) if not name.isupper()):
+            return False
+        for w in reversed(before):
+            if w in FUNCTION_WORDS or _VERB_FORM.match(w):
+                break
+            if not plain(w) and (w in self.words or w.isdigit() or _CHEMICAL.search(w)):
+                return False
+        for part in others:
+            for w in part:
+                if w in FUNCTION_WORDS or _VERB_FORM.match(w):
+                    break
+                if not plain(w):
+                    return False
+        return True
 
 
 def map_names(df: DataFrame, key: str, name: str, canonical: str, reagents: DataFrame) -> DataFrame:

@@ -422,3 +422,30 @@ def test_overlap_report_counts_pairs_and_spans(spark, monkeypatch):
     assert ("test", "h", 20 * 40, 20, 3) in want and ("val", "s", 2, 2, 5) in want
     monkeypatch.setattr(split_overlap, "BLOCK", 7)  # classes above seven records are joined in blocks
     assert report() == want
+
+
+#: Phrase forms that no row of the test tables has, and names that only qualify another.
+HELD_OUT = [
+    "{} in water", "{} used as cryoprotectant", "0.2 M {} from Sigma", "stock of {} dissolved in water", "crude {}", "lab-made {} for the soak", "{} mit Wasser", "solution de {} pour le bain", "{} con agua", "Merck {} with glass beads", "{} obtained from plants",
+    "2 ml of {} on ice", "commercial {} without preservative", "{} weighed by hand", "20 mM {} into the drop",
+]
+DECOYS = ["{} kinase", "{} inhibitor", "{} phosphatase", "{} antibody", "{} receptor"]
+
+
+def test_embedded_mentions_in_phrases_the_tables_do_not_have(spark, data):
+    reagents = spark.read.parquet(f"{data}/reagents.parquet").orderBy("canonical_id").collect()
+    m = reagent_mapping.Matcher([(r["canonical_id"], [r["display_name"], *(r["aliases"] or []), r["canonical_id"]]) for r in reagents])
+    names = [(r["canonical_id"], r["display_name"]) for r in reagents]
+    right = Counter(m.match(form.format(name)) == cid for cid, name in names for form in HELD_OUT)
+    assert right[True] >= 0.95 * right.total(), right
+    wrong = Counter(m.match(form.format(name)) is None for _, name in names for form in DECOYS)
+    assert wrong[True] >= 0.9 * wrong.total(), wrong
+    rng, typos = random.Random(4), Counter()
+    for cid, name in names:  # names written with one letter dropped, doubled or swapped
+        if len(name) > 7:
+            for _ in range(6):
+                k = rng.randrange(1, len(name) - 1)
+                if name[k].isalpha() and name[k + 1].isalpha():
+                    typos[m.match(rng.choice([name[:k] + name[k + 1 :], name[:k] + name[k] * 2 + name[k + 1 :], name[:k] + name[k + 1] + name[k] + name[k + 2 :]])) == cid] += 1
+    assert typos[True] >= 0.9 * typos.total(), typos
+    print(right, wrong, typos)
