@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import ChainMap, Counter
 from collections.abc import Callable, Collection, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,62 +45,84 @@ DIGITS = {
 }
 
 _SPELLED = "|".join(DIGITS)
-_REWRITE = re.compile(
-    "|".join([
-        r"(?P<entity>" + "|".join(map(re.escape, ENTITIES)) + ")",
-        r"(?P<at>\s*[(\[{<]\s*(?i:at|arroba)\s*[)\]}>]\s*)",
-        r"(?P<dot>\s*[(\[{<]\s*(?i:dot|punkt|punto|point)\s*[)\]}>]\s*)",
-        r"(?P<spoken>(?<=\w)\s+(?i:at)\s+[\w-]+(?:\s+(?i:dot)\s+[\w-]+)+)",
-        r"(?P<word_dot>(?<=\w)\s+(?i:dot)\s+(?=\w))",
-        rf"(?P<digits>\b(?i:{_SPELLED})(?:[ -](?i:{_SPELLED})){{4,}}\b)",
-        r"(?P<char>[^\x00-\x7fÀ-ɏ])",
-        r"(?P<blank>[\x85\xa0])",
-    ])
-)
-_FOREIGN = re.compile(r"[^\x00-\x7fÀ-ɏ]|[\x85\xa0]")
-_DISGUISED = re.compile(r"[(\[{<]\s*(?:at|arroba|dot|punkt|punto|point)\s*[)\]}>]|\sdot\s", re.I)
+#: Parts of the transducer with what must stand in a text, in lower case, for each to be tried. None starts with a blank, so a scan is quick; blanks before a sign are taken with it.
+_PARTS = (
+    ("entity", "|".join(map(re.escape, ENTITIES)), ("&",)),
+    ("at", r"[(\[{<]\s*(?i:at|arroba)\s*[)\]}>]\s*", ("at", "arroba")),
+    ("dot", r"[(\[{<]\s*(?i:dot|punkt|punto|point)\s*[)\]}>]\s*", ("dot", "punkt", "punto", "point")),
+    ("spoken", r"(?<=\s)(?i:at)\s+[\w-]+(?:\s+(?i:dot)\s+[\w-]+)+", ("dot",)),
+    ("word_dot", r"(?<=\s)(?i:dot)\s+(?=\w)", ("dot",)),
+    ("digits", rf"\b(?i:{_SPELLED})(?:[ -](?i:{_SPELLED})){{4,}}\b", ()),
+    ("char", r"[^\x00-\x7fÀ-ɏ]", ()),
+    ("blank", r"[\x85\xa0]", ()),
+)
+_OPENED = re.compile(r"[(\[{<]\s*(?:at|arroba|dot|punkt|punto|point)\s*[)\]}>]")
+_SPOKEN_WORD = re.compile(r"(\s*(?i:at)\s+)|(\s+(?i:dot)\s+)|([\w-]+)")
+_FOREIGN = re.compile(r"[^\x00-\x7fÀ-ɏ]")
+_DIGIT_WORDS = tuple(w for w in DIGITS if w != "oh")
 
 
-def _any(words: tuple[str, ...], low: str) -> bool:
-    return any(w in low for w in words)
+@lru_cache(maxsize=None)
+def _transducer(parts: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<{name}>{form})" for name, form, _ in _PARTS if name in parts))
 
 
-_DIGIT_WORDS = tuple(w for w in DIGITS if w != "oh")
+def _needed(source: str, low: str) -> tuple[str, ...]:
+    """The parts of the transducer that may find something."""
+    opened = any(c in source for c in "([{<") and _OPENED.search(low)
+    out = [name for name, _, words in _PARTS[:5] if any(w in low for w in words) and (opened or name not in ("at", "dot"))]
+    if sum(w in low for w in _DIGIT_WORDS) > 1:
+        out.append("digits")
+    if not source.isascii():
+        if _FOREIGN.search(source):
+            out.append("char")
+        if "\xa0" in source or "\x85" in source:
+            out.append("blank")
+    return tuple(out)
 
 
-def _needs_rewriting(source: str, low: str) -> bool:
-    return bool("&" in source or _FOREIGN.search(source) or _DISGUISED.search(source) or sum(w in low for w in _DIGIT_WORDS) > 1)
+def _any(words: tuple[str, ...], low: str) -> bool:
+    return any(w in low for w in words)
 
 
 class Plain:
-    """A rewritten text with the source range of each of its characters."""
+    """A rewritten text with the source range of each of its characters, kept as pieces that are shifted together."""
 
-    __slots__ = ("text", "starts", "ends", "spelled")
+    __slots__ = ("text", "places", "pieces", "spelled")
 
     def __init__(self, source: str):
         self.spelled: list[tuple[int, int]] = []
-        if not _needs_rewriting(source, source.lower()):
-            self.text, self.starts, self.ends = source, None, None
+        self.text, self.pieces = source, None
+        parts = _needed(source, source.lower())
+        if not parts:
             return
         out: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
+        places: list[int] = []  # where each piece starts in the plain form
+        pieces: list[tuple[int, int, bool]] = []  # its source range, and whether characters correspond one by one
+        length = 0
 
         def put(text: str, a: int, b: int) -> None:
-            """One source range for all of `text`, or one character each if the lengths agree."""
-            out.append(text)
-            if len(text) == b - a:
-                starts.extend(range(a, b))
-                ends.extend(range(a + 1, b + 1))
-            else:
-                starts.extend([a] * len(text))
-                ends.extend([b] * len(text))
+            nonlocal length
+            if text:
+                same = len(text) == b - a
+                if same and pieces and pieces[-1][2] and pieces[-1][1] == a:
+                    pieces[-1] = (pieces[-1][0], b, True)
+                else:
+                    places.append(length)
+                    pieces.append((a, b, same))
+                out.append(text)
+                length += len(text)
 
         place = 0
-        for m in _REWRITE.finditer(source):
-            put(source[place : m.start()], place, m.start())
+        for m in _transducer(parts).finditer(source):
             a, b, kind = m.start(), m.end(), m.lastgroup
-            found = m.group()
+            if kind in ("at", "dot", "word_dot", "spoken"):
+                while a > place and source[a - 1].isspace():
+                    a -= 1
+                if kind in ("word_dot", "spoken") and not (a and (source[a - 1].isalnum() or source[a - 1] == "_")):
+                    continue  # no word before it
+            put(source[place:a], place, a)
+            found = source[a:b]
             if kind == "entity":
                 put(ENTITIES[found], a, b)
             elif kind == "at":
@@ -106,27 +130,38 @@ class Plain:
             elif kind in ("dot", "word_dot"):
                 put(".", a, b)
             elif kind == "spoken":
-                for w in re.finditer(r"(\s+(?i:at)\s+)|(\s+(?i:dot)\s+)|([\w-]+)", found):
-                    if w[3]:
-                        put(w[3], a + w.start(), a + w.end())
-                    else:
-                        put("@" if w[1] else ".", a + w.start(), a + w.end())
+                for w in _SPOKEN_WORD.finditer(found):
+                    put(w[3] or ("@" if w[1] else "."), a + w.start(), a + w.end())
             elif kind == "digits":
-                first = len(starts)
+                first = length
                 for w in re.finditer(r"[^\W\d_]+", found):
                     put(DIGITS[w.group().lower()], a + w.start(), a + w.end())
-                self.spelled.append((first, len(starts)))
+                self.spelled.append((first, length))
             elif kind == "blank":
                 put(" ", a, b)
             else:
                 plain = LOOKALIKES.get(found) or unicodedata.normalize("NFKC", found)
                 put(plain if len(plain) == 1 else " " if found.isspace() else found, a, b)
             place = b
-        put(source[place:], place, len(source))
-        self.text, self.starts, self.ends = "".join(out), starts, ends
+        if pieces or place:
+            put(source[place:], place, len(source))
+            self.text, self.places, self.pieces = "".join(out), places, pieces
+
+    @property
+    def starts(self) -> list[int] | None:
+        """Where the source of each character starts, None if the text was not rewritten."""
+        return None if self.pieces is None else [self.source_span(i, i + 1)[0] for i in range(len(self.text))]
+
+    @property
+    def ends(self) -> list[int] | None:
+        return None if self.pieces is None else [self.source_span(i, i + 1)[1] for i in range(len(self.text))]
 
     def source_span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
+        if self.pieces is None:
+            return a, b
+        i, j = bisect_right(self.places, a) - 1, bisect_right(self.places, b - 1) - 1
+        (x, _, same), (y, z, alike) = self.pieces[i], self.pieces[j]
+        return x + (a - self.places[i] if same else 0), y + b - self.places[j] if alike else z
 
 
 _LOCAL = re.compile(r"[\w.%+'-]{0,63}\w\s?$")
@@ -171,6 +206,27 @@ _ID_HINTS = (
     "passport", "reisepass", "pasaporte", "passeport", "dni", "nie", "nif", "nir", "ssn", "social", "ni ", "ni:", "nino", "insurance", "steuer",
     "card", "ausweis", "carte", "documento", "tax ",
 )
+_ID_REACH = 160
+
+
+def _labelled_ids(text: str, low: str) -> list[tuple[int, int]]:
+    """Identity numbers behind a label, sought around the places where a label may be."""
+    windows: list[list[int]] = []
+    for p in sorted({m for h in _ID_HINTS for m in _occurrences(h, low)}):
+        if windows and p - 40 <= windows[-1][1]:
+            windows[-1][1] = p + _ID_REACH
+        else:
+            windows.append([max(0, p - 40), p + _ID_REACH])
+    return [m.span("v") for a, z in windows for m in _ID.finditer(text, a, min(z, len(text)))]
+
+
+def _occurrences(word: str, text: str) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
+
+
 _ID_BARE = re.compile(r"(?<![\w-])(?:[A-CEGHJ-PR-TW-Z]{2}\s\d\d\s\d\d\s\d\d\s[A-D]|[XYZ]?\d{7,8}-?[A-HJ-NP-TV-Z])\b")
 
 _PHONE = re.compile(
@@ -230,6 +286,9 @@ _INITIALS = re.compile(r"(?<!\w)(?P<initials>[^\W\d_]\.(?:[^\W\d_]\.)?)[ ]$")
 _AFTER = re.compile(rf",[ ](?P<given>{_WORD})(?P<middle>[ ][^\W\d_]\.)?(?![\w@+.-]*@|[-+.]\w|[ ]@)")
 
 
+_FULL = re.compile(rf"{_PROPER}[ ](?:[A-Z]\.?[ ])?(?P<surname>(?:{_PARTICLE}[ ])?{_PROPER})(?=[,.;:)(\n]|$|[ ][a-zß-öø-ÿ(])")
+
+
 class _Either:
     def __init__(self, a: Collection[str], b: Collection[str]):
         self.a, self.b = a, b
@@ -250,10 +309,22 @@ class Names:
             self.last[tail] = {*self.last.get(tail, ()), head}
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Mentions in order: surnames with what belongs to them, and given names before a proper word that no text introduced."""
         taken = -1
         for m in _WORDS.finditer(text):
-            heads = self.last.get(m.group().lower())
-            if heads is None or m.start() < taken:
+            word = m.group().lower()
+            heads = self.last.get(word)
+            if m.start() < taken:
+                continue
+            if heads is None and word in self.given and (new := _FULL.match(text, m.start())):
+                surname = new["surname"].lower()
+                if self.last.get(surname.rpartition(" ")[2]) is None:
+                    # a word that the text also writes in lower case is no name
+                    if not re.search(rf"(?<!\w){re.escape(surname)}(?!\w)", text):
+                        taken = new.end("surname")
+                        yield m.start(), taken
+                        continue
+            if heads is None:
                 continue
             a, b = m.span()
             if text[b : b + 1] in ("@", "+", "_") or (a and text[a - 1] in "@+_.-/"):
@@ -282,8 +353,67 @@ class Names:
             yield a, b
 
 
-def introduced(text: str) -> Iterator[re.Match]:
-    return _INTRODUCED.finditer(text)
+#: A title before a surname, or before a full name that a mark or the end of the line follows.
+_TITLED = re.compile(
+    rf"\b(?:Dr|Prof|Mr|Mrs|Ms|Mme|Mlle|Herr|Frau|Herrn|Sr\.|Sra\.|Don|Doña)\.?[ ]"
+    rf"(?:(?P<given>{_PROPER})[ ](?:[A-Z]\.?[ ])?(?P<surname>(?:{_PARTICLE}[ ])?{_PROPER})(?=[,.;:)(\n]|$)|(?P<alone>(?:{_PARTICLE}[ ])?{_PROPER})(?![ ]?[^\W\d_a-zß-öø-ÿ]|[\w@-]))"
+)
+#: What closes a letter before the name of its writer.
+_CLOSING = (
+    r"(?:(?:[Bb]est|[Kk]ind|[Ww]arm)(?:[ ](?:regards|wishes))?|[Rr]egards|[Cc]heers|[Ss]incerely|[Yy]ours(?:[ ]\w+)?|(?:[Mm]it[ ])?(?:freundlichen?|besten?|[Vv]iele)[ ]Grüße[n]?|Grüße|Gruß|"
+    r"[Cc]ordialement|[Bb]ien[ ]à[ ](?:vous|toi)|[Aa]mitiés|[Ss]aludos(?:[ ]cordiales)?|[Uu]n[ ]saludo|[Aa]tentamente)"
+)
+#: What must occur in a text for titles and closings to be sought.
+_TITLES = ("Dr", "Prof", "Mr", "Ms", "Mme", "Mlle", "Herr", "Frau", "Sr.", "Sra.", "Don ", "Doña")
+_CLOSINGS = ("egards", "ishes", "est,", "heers", "incerely", "ours", "Grüße", "Gruß", "ordialement", "ien à", "mitiés", "aludo", "tentamente")
+_SIGNED = re.compile(rf"(?:^|[\n.!?;][ ]?){_CLOSING},?\s+(?P<given>{_PROPER})[ ](?:[A-Z]\.?[ ])?(?P<surname>(?:{_PARTICLE}[ ])?{_PROPER})(?=[ ]*(?:[,.\n(]|$))", re.M)
+_PAIR = re.compile(rf"(?<![\w@.'-])(?P<given>{_WORD})[ ](?:[A-Z]\.?[ ])?(?P<surname>(?:{_PARTICLE}[ ])?{_WORD})(?![\w@])")
+
+
+def _folded(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if c.isalpha())
+
+
+def _spelled_by_mail(text: str, mails: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
+    """Neighbouring words that a mail address in the same text spells as a given name, or its initial, and a surname."""
+    whole = [re.split(r"[@+]", text[a:b])[0].lower() for a, b in mails]
+    locals_ = {x for x in map(_folded, whole) if len(x) > 4}
+    # parts that must stand outside the addresses
+    parts = {p for x in whole for p in map(_folded, [*re.split(r"[._-]", x), x[1:], x[:-1]]) if len(p) > 2}
+    text = _blanked(text, mails)
+    bare = text.lower().replace("'", "").replace("’", "").replace("-", "")
+    if not bare.isascii():
+        bare = unicodedata.normalize("NFKD", bare).encode("ascii", "ignore").decode()
+    joined = bare.replace(" ", "")
+    if not (any(p in bare for p in parts) or any(x in joined for x in locals_)):
+        return
+    place = 0
+    while m := _PAIR.search(text, place):
+        given, surname = _folded(m["given"]), _folded(m["surname"])
+        if len(surname) > 2 and len(given) > 1 and not locals_.isdisjoint((given + surname, surname + given, given[0] + surname, surname + given[0])) and m["given"][0].isupper() and m["surname"].rpartition(" ")[2][0].isupper():
+            yield m.start("given"), m.end("surname"), m["given"], m["surname"]
+            place = m.end()
+        else:
+            place = m.end("given")
+
+
+def introduced(text: str, mails: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, str | None, str]]:
+    """(start, end, given name or None, surname) of each place that shows a person: a phrase, a title, a signature, an address spelled like the words."""
+    for m in _INTRODUCED.finditer(text):
+        yield m.start("given"), m.end("surname"), m["given"], m["surname"]
+    for m in _TITLED.finditer(text) if _any(_TITLES, text) else ():
+        if m["alone"]:
+            yield *m.span("alone"), None, m["alone"]
+        else:
+            yield m.start("given"), m.end("surname"), m["given"], m["surname"]
+    for m in _SIGNED.finditer(text) if _any(_CLOSINGS, text) else ():
+        yield m.start("given"), m.end("surname"), m["given"], m["surname"]
+    yield from _spelled_by_mail(text, _emails(text) if mails is None else mails)
+
+
+def _parts_of(found: Iterable[tuple[int, int, str | None, str]]) -> set[tuple[str, str]]:
+    """(part, name) in lower case: g for given names, s for surnames."""
+    return {pair for _, _, g, s in found for pair in (("g", g.lower() if g else None), ("s", s.lower())) if pair[1]}
 
 
 def _without_names(source: str) -> tuple[Plain, list[tuple[int, int, str]], str]:
@@ -300,9 +430,10 @@ def _without_names(source: str) -> tuple[Plain, list[tuple[int, int, str]], str]
             found.extend((a, b, kind) for a, b in spans)
 
     low = text.lower()
+    if len(low) != len(text):  # letters whose lower form is longer
+        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
     take_all("email", _emails(text))
-    if _any(_ID_HINTS, low):
-        take_all("id_number", [m.span("v") for m in _ID.finditer(free)])
+    take_all("id_number", _labelled_ids(free, low))
     take_all("id_number", [m.span() for m in _ID_BARE.finditer(free)])
     for hints, form in zip(_ADDRESS_HINTS, _ADDRESS):
         if _any(hints, low):
@@ -330,11 +461,14 @@ def find_mentions(source: str | None, names: Names) -> list[tuple[str, int, int]
     if not source:
         return []
     plain, found, free = _without_names(source)
-    own = [(m["given"].lower(), m["surname"].lower()) for m in introduced(plain.text)]
+    mails = [(a, b) for a, b, kind in found if kind == "email"]
+    own = _parts_of(introduced(plain.text, mails))
     if own:
-        names = Names({g for g, _ in own}, {s for _, s in own}, names)
+        names = Names({n for p, n in own if p == "g"}, {n for p, n in own if p == "s"}, names)
     spans = list(names.spans(free))
-    spans += [(m.start("given"), m.end("surname")) for m in introduced(_blanked(free, spans))]
+    for a, b, _, _ in introduced(_blanked(free, spans), []):
+        if all(b <= x or y <= a for x, y in spans):
+            spans.append((a, b))
     return [(kind, *plain.source_span(a, b)) for a, b, kind in sorted([*found, *((a, b, "name") for a, b in spans)])]
 
 
@@ -359,8 +493,7 @@ def learn_names(df: DataFrame, text: str) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen = {pair for m in introduced(Plain(t).text) for pair in (("g", m["given"].lower()), ("s", m["surname"].lower()))}
-                    counts.update(seen)
+                    counts.update(_parts_of(introduced(Plain(t).text)))
         rows = list(counts.items())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["part", "name", "n"])
 

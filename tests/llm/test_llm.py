@@ -449,3 +449,41 @@ def test_embedded_mentions_in_phrases_the_tables_do_not_have(spark, data):
                     typos[m.match(rng.choice([name[:k] + name[k + 1 :], name[:k] + name[k] * 2 + name[k + 1 :], name[:k] + name[k + 1] + name[k] + name[k + 2 :]])) == cid] += 1
     assert typos[True] >= 0.9 * typos.total(), typos
     print(right, wrong, typos)
+
+
+#: Ways of naming a person that no text of the test tables uses, with and without evidence in the same text.
+HELD_OUT_PEOPLE = [
+    "The drops dried out.\nBest regards,\n{g} {s}", "Dr. {s} checked the tray again.", "ask Prof. {g} {s}, please", "{g} {s} <{lg}.{ls}@lab.test> has the key", "write to {lg}{ls}@lab.test, then {g} {s} answers",
+    "{g} {s} ({i}{ls}@lab.test) was late", "Viele Grüße\n{g} {s}", "Cordialement,\n{g} {s}\n", "Un saludo, {g} {s}", "Mrs. {s} left; Cheers, {g} {s}",
+]
+#: The same without any evidence in the text: found if two other texts introduce the given name or the surname.
+HELD_OUT_PLAIN = ["yesterday {g} {s} looked at the drops", "{g} {s} will call back", "the key is with {s}", "{s}, {g} has the list", "asked {i}. {s} about it"]
+
+
+def test_people_in_phrases_the_tables_do_not_have():
+    rng = random.Random(12)
+    make = lambda: "".join(rng.choice(["bar", "lo", "vin", "tes", "kor", "mi", "dal", "un", "sen", "ra"]) for _ in range(3)).capitalize()
+    right = Counter()
+    for form in HELD_OUT_PEOPLE:
+        for _ in range(20):
+            g, s = make(), make()
+            text = form.format(g=g, s=s, lg=g.lower(), ls=s.lower(), i=g[0].lower())
+            got = [text[a:b] for k, a, b in personal_data.find_mentions(text, NAMES) if k == "name"]
+            want = re.findall(rf"{g} {s}|(?<=Dr\. ){s}|(?<=Mrs\. ){s}", text)
+            right[got == want] += 1
+    assert right[True] >= 0.95 * right.total(), right
+    known = [(make(), make()) for _ in range(40)]
+    lexicon = personal_data.Names({g.lower() for g, _ in known}, {s.lower() for _, s in known})
+    plain = Counter()
+    for form in HELD_OUT_PLAIN:
+        for g, s in known:
+            text = form.format(g=g, s=s, i=g[0])
+            got = [text[a:b] for k, a, b in personal_data.find_mentions(text, lexicon)]
+            plain[len(got) == 1 and s in got[0] and (g in got[0] or g not in text)] += 1
+            new = make()  # a surname nobody introduced, behind a known given name
+            text = f"today {g} {new} came"
+            plain[[text[a:b] for _, a, b in personal_data.find_mentions(text, lexicon)] == [f"{g} {new}"]] += 1
+    assert plain[True] >= 0.95 * plain.total(), plain
+    for text in ("The Plate was cold. Best results at 4 C", "Prof. wrote", "Regards to all of them", "mail data.collection@x.test for data collection"):
+        assert not [k for k, _, _ in personal_data.find_mentions(text, NAMES) if k == "name"]
+    print(right, plain)
