@@ -70,11 +70,36 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage through a Parquet table in the shared folder; columnar, so later reads prune columns."""
+    """Cuts the lineage through a Parquet table in the shared folder; columnar, so later reads prune columns.
+
+    Tables lie in the application's own folder under the checkpoint folder; `discard` removes one that nothing reads
+    any more, `discard_all` those left.
+    """
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._brineflow_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by `written`, once everything computed from them has been written itself."""
+    for df in tables:
+        if path := getattr(df, "_brineflow_path", None):
+            _remove(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Removes all tables of this application, once its results are stored."""
+    if base := spark.sparkContext.getCheckpointDir():
+        _remove(spark, base)
+        spark.sparkContext.setCheckpointDir(str(base).rstrip("/").rsplit("/", 1)[0])
 
 
 def parallelism(spark: SparkSession) -> int:
