@@ -2,9 +2,11 @@
 
 Records tie the values they hold: two clusters seen with one entry are an edge. Each round every vertex tosses a
 coin (a hash of the vertex and the round); a tail joins its smallest head neighbour, edges are relabelled by SQL
-joins, loops and repeated edges vanish; a constant share of the vertices is contracted each round. When no edge is
-left the maps of the rounds are unwound from the last to the first. Graph, maps and labels stay distributed and are
-cut through the shared checkpoint folder; the driver sees counts only. Groups are then split by cumulative weight.
+joins, loops and repeated edges vanish; a constant share of the vertices is contracted each round. Hubs are split
+off in these joins. Once at most SMALL_GRAPH edges are left, one task runs the remaining rounds on arrays. When no edge
+is left the maps of the rounds are unwound from the last to the first, each level written before the next. Graph, maps
+and labels stay distributed and are cut through the shared checkpoint folder; the driver sees counts only. Groups are
+then split by cumulative weight.
 
 Defined results: null and blank values tie nothing; a record without either value is a group of its own with a null
 key and is left out of `related_groups`; ties in choosing are broken by value; an empty table gives no rows.
@@ -12,13 +14,19 @@ key and is left out of `related_groups`; ties in choosing are broken by value; a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brineflow.operators.joins import heavy_light_join
-from brineflow.runtime.session import written
+from brineflow.operators.joins import heavy_keys, heavy_light_join
+from brineflow.runtime.session import discard, ship_code, written
 
 MAX_ROUNDS = 400
+#: Edges, in both directions, that one task contracts by itself.
+SMALL_GRAPH = 500_000
 #: A group above this share of all rows is placed by itself; there are at most 1 / LARGE_SHARE such groups.
 LARGE_SHARE = 0.001
 
@@ -33,33 +41,84 @@ def entry_key(column: Column) -> Column:
     return F.upper(F.regexp_replace(_filled(column), r"(?U)^\s+|\s+$", ""))
 
 
+def _coins(n: int, turn: int) -> np.ndarray:
+    """A coin for each of n vertices, another one each round."""
+    x = (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn * 0xD1B54A32D192ED03 % 2**64)
+    x ^= x >> np.uint64(31)
+    return (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) & np.uint64(1) == 1
+
+
+def contract_arrays(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The label of each of n vertices under edges given in both directions; the rounds of `contract` on arrays."""
+    into = np.arange(n)
+    for turn in range(MAX_ROUNDS):
+        if not len(a):
+            break
+        head = _coins(n, turn)
+        chosen = np.full(n, n)
+        joins = ~head[a] & head[b]
+        np.minimum.at(chosen, a[joins], b[joins])
+        step = np.where(chosen < n, chosen, np.arange(n))
+        into = step[into]
+        a, b = step[a], step[b]
+        edges = np.unique(a[a != b] * n + b[a != b])
+        a, b = edges // n, edges % n
+    else:
+        raise RuntimeError(f"edges left after {MAX_ROUNDS} rounds")
+    return into
+
+
+def _contract_small(edges: DataFrame) -> DataFrame:
+    """(a, into) of every vertex of at most SMALL_GRAPH edges, in one task."""
+    ship_code(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if rows:
+            table = pa.Table.from_batches(rows)
+            names = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks().dictionary_encode()
+            codes = names.indices.to_numpy().astype(np.int64)
+            label = contract_arrays(codes[: table.num_rows], codes[table.num_rows :], len(names.dictionary))
+            yield pa.RecordBatch.from_arrays([names.dictionary, names.dictionary.take(pa.array(label))], names=["a", "into"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "a string, into string")
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(vertex, label) for every vertex of the undirected edges (a, b); the label is a vertex of its component."""
     both = edges.where("a <> b")
     current = written(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     maps: list[DataFrame] = []
     for turn in range(MAX_ROUNDS):
-        if current.isEmpty():
+        left = current.count()
+        if left <= SMALL_GRAPH:
+            if left or not maps:
+                maps.append(written(_contract_small(current), "map"))
             break
         head = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 1
         chosen = written(current.where(~head("a") & head("b")).groupBy("a").agg(F.min("b").alias("into")), f"map{turn}")
-        renamed = current.join(chosen, "a", "left").select(F.coalesce("into", "a").alias("a"), "b")
-        # edges are kept in both directions, so the other end is relabelled by the same map
-        renamed = renamed.join(chosen.select(F.col("a").alias("b"), F.col("into")), "b", "left").select("a", F.coalesce("into", "b").alias("b"))
-        current = written(renamed.where("a <> b").distinct(), f"edges{turn}")
+        # edges are kept in both directions, so hubs and the map are the same for either end
+        hubs = heavy_keys(current, "a")
+        renamed = heavy_light_join(current, chosen, "a", heavy=hubs).select(F.coalesce("into", "a").alias("a"), "b")
+        renamed = heavy_light_join(renamed, chosen.withColumnRenamed("a", "b"), "b", heavy=hubs).select("a", F.coalesce("into", "b").alias("b"))
+        following = written(renamed.where("a <> b").distinct(), f"edges{turn}")
+        discard(current)
+        current = following
         maps.append(chosen)
     else:
         raise RuntimeError(f"edges left after {MAX_ROUNDS} rounds")
-    labels = None
-    for n, chosen in enumerate(reversed(maps)):
-        this = chosen.select(F.col("a").alias("vertex"), F.col("into").alias("label"))
-        if labels is not None:
-            this = this.join(labels.select(F.col("vertex").alias("label"), F.col("label").alias("up")), "label", "left").select("vertex", F.coalesce("up", "label").alias("label"))
-            this = labels.unionByName(this)
-        labels = written(this, "labels") if n % 6 == 5 else this
-    if labels is None:
-        return edges.select(F.col("a").alias("vertex"), F.col("b").alias("label")).limit(0)
-    return written(labels, "labels")
+    discard(current)
+    labels = maps.pop().select(F.col("a").alias("vertex"), F.col("into").alias("label"))
+    unwound = bool(maps)
+    for chosen in reversed(maps):
+        up = labels.select(F.col("vertex").alias("into"), F.col("label").alias("up"))
+        level = chosen.join(up, "into", "left").select(F.col("a").alias("vertex"), F.coalesce("up", "into").alias("label"))
+        labels = written(labels.unionByName(level), "labels")
+    if not unwound:
+        return labels
+    # a vertex that was joined by others only, and by none of the last rounds, is its own label
+    roots = labels.select(F.col("label").alias("vertex")).distinct().join(labels.select("vertex"), "vertex", "left_anti")
+    return written(labels.unionByName(roots.select("vertex", F.col("vertex").alias("label"))), "labels")
 
 
 def keyed_groups(df: DataFrame, record: str, cluster: str, entry: str) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +129,7 @@ def keyed_groups(df: DataFrame, record: str, cluster: str, entry: str) -> tuple[
     of_entry = both.groupBy("p").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     # an entry ties its clusters to its smallest one; entries of one cluster need no edge
     linking = of_entry.where("low <> high").select("p", "low")
-    edges = both.join(linking, "p").where("c <> low").select(F.concat(F.lit("c"), "low").alias("a"), F.concat(F.lit("c"), "c").alias("b")).distinct()
+    edges = heavy_light_join(both, linking, "p", "inner").where("c <> low").select(F.concat(F.lit("c"), "low").alias("a"), F.concat(F.lit("c"), "c").alias("b")).distinct()
     labels = contract(edges)
 
     clusterless = pairs.where("c IS NULL AND p IS NOT NULL").join(of_entry.select("p", "low"), "p", "left")

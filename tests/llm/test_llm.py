@@ -487,3 +487,22 @@ def test_people_in_phrases_the_tables_do_not_have():
     for text in ("The Plate was cold. Best results at 4 C", "Prof. wrote", "Regards to all of them", "mail data.collection@x.test for data collection"):
         assert not [k for k, _, _ in personal_data.find_mentions(text, NAMES) if k == "name"]
     print(right, plain)
+
+
+def test_contraction_in_one_task_and_by_joins_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(17)
+    edges = [(f"v{i}", f"v{i + 1}") for i in range(70)] + [("hub", f"h{i}") for i in range(60)] + [(f"r{rng.randrange(60)}", f"r{rng.randrange(60)}") for _ in range(45)]
+    df = spark.createDataFrame(edges, "a string, b string")
+
+    def components():
+        groups = defaultdict(set)
+        for r in related_splits.contract(df).collect():
+            groups[r["label"]].add(r["vertex"])
+        assert all(label in g for label, g in groups.items())
+        return sorted(map(sorted, groups.values()))
+
+    want = components()
+    assert sorted(len(g) for g in want)[-2:] == [61, 71] and sum(map(len, want)) == len({x for a, b in edges if a != b for x in (a, b)})
+    monkeypatch.setattr(related_splits, "SMALL_GRAPH", 100)  # some rounds by joins first, unwound afterwards
+    assert components() == want
+    assert related_splits.contract(df.limit(0)).count() == 0
