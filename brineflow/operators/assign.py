@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.functions import quantity as Q
+from brineflow.runtime.session import bounded_rows
 from brineflow.schemas import OUT_OF_SCOPE
 
 AXES = ("peg_log_mw", "peg_percent", "salt_rank", "salt_log_molar", "organic_percent", "ph")
@@ -13,6 +14,8 @@ AXES = ("peg_log_mw", "peg_percent", "salt_rank", "salt_log_molar", "organic_per
 WEIGHTS = {"peg_log_mw": 1.0, "peg_percent": 0.8, "salt_rank": 0.9, "salt_log_molar": 0.9, "organic_percent": 0.7, "ph": 0.6}
 SCALES = {"peg_log_mw": 1.0, "peg_percent": 15.0, "salt_rank": 2.0, "salt_log_molar": 0.5, "organic_percent": 15.0, "ph": 1.0}
 NEAR, FAR = 0.5, 1.0
+#: Groups that are broadcast; of more the join shuffles.
+MAX_GROUPS = 100_000
 
 
 def families(components: DataFrame, peg_max_mw: float = 600, salt_min_molar: float = 0.2, least_percent: float = 4.0) -> DataFrame:
@@ -128,10 +131,13 @@ def shares_axis(a: str, b: str) -> Column:
 def nearest(records: DataFrame, key: str, groups: DataFrame, on: str) -> DataFrame:
     """(key, group_id, distance): the closest group of the same class that shares an axis; ties go to the smaller id.
 
-    Groups are a curated dimension; the join is on the class and the argmin is one aggregate, so no pair table is kept.
+    Groups are a curated dimension: up to MAX_GROUPS they are sent to the records, so a class that holds most records is
+    not brought together; beyond it the join shuffles. The argmin is one aggregate, so no pair table is kept.
     """
     a = records.select(key, on, F.struct(*AXES).alias("a"))
     b = groups.select("group_id", on, F.struct(*AXES).alias("b"))
+    if bounded_rows(b, MAX_GROUPS) is not None:
+        b = F.broadcast(b)
     pairs = a.join(b, on).where(shares_axis("a", "b")).withColumn("distance", distance("a", "b"))
     best = pairs.groupBy(key).agg(F.min(F.struct("distance", "group_id")).alias("m"))
     return best.select(key, F.col("m.group_id").alias("group_id"), F.col("m.distance").alias("distance"))
@@ -153,7 +159,7 @@ def centroids(records: DataFrame, by: list[str]) -> DataFrame:
 
 
 def merge_candidates(groups: DataFrame, on: str, below: float = 0.25) -> DataFrame:
-    """(a, b, distance): pairs of groups of the same class nearer than `below`; joined on class and on the coarse cell of the leading axis, and checked exactly."""
+    """(a, b, distance): pairs of groups of the same class nearer than `below`. Groups are a curated dimension, so a class has few; every two of a class are compared."""
     side = lambda p: groups.select(F.col("group_id").alias(p), on, F.struct(*AXES).alias(f"{p}x"))
     pairs = side("a").join(side("b"), on).where("a < b").where(shares_axis("ax", "bx")).withColumn("distance", distance("ax", "bx"))
     return pairs.where(F.col("distance") < below).select("a", "b", "distance")

@@ -12,6 +12,8 @@ from brineflow.functions.text import dedup_key, flat_alnum
 from brineflow.runtime.session import bounded_rows, spread
 from brineflow.schemas import ANSWER, ROLES, UNITS
 
+#: Characters of the shortest spelling that is sought in a text.
+SHORTEST = 3
 #: Known names are broadcast up to this number, and shuffled beyond it.
 MOST_SENT = 100_000
 
@@ -115,8 +117,10 @@ def grounded(mentions: DataFrame, key: str, name: str, text: str, spellings: Dat
     rows = mentions.select(key, name, flat_alnum(F.col(text)).alias("_t"))
     hit = rows.join(spellings, name).where(F.contains(F.col("_t"), F.col("flat")))
     others = spellings.select(F.col("flat").alias("longer"), F.col(name).alias("_other"))
-    longer = spellings.join(others, (F.substring("longer", 1, 4) == F.substring("flat", 1, 4)) & F.col("longer").startswith(F.col("flat")) & (F.length("longer") > F.length("flat"))).where(F.col("_other") != F.col(name))
-    longer = longer.groupBy("flat").agg(F.collect_set("longer").alias("longer"))
+    longer = spellings.join(others, (F.substring("longer", 1, SHORTEST) == F.substring("flat", 1, SHORTEST)) & F.col("longer").startswith(F.col("flat")) & (F.length("longer") > F.length("flat"))).where(F.col("_other") != F.col(name))
+    # the longest are taken out first
+    by_length = lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)
+    longer = longer.groupBy("flat").agg(F.array_sort(F.collect_set("longer"), by_length).alias("longer"))
     free = hit.join(longer, "flat", "left").withColumn("_rest", F.aggregate(F.coalesce("longer", F.array().cast("array<string>")), F.col("_t"), lambda acc, w: F.replace(acc, w, F.lit("#"))))
     ok = free.where(F.contains(F.col("_rest"), F.col("flat"))).groupBy(key, name).agg(F.max(F.length("flat")).alias("longest_hit"))
     return mentions.select(key, name).join(ok, [key, name], "left").select(key, name, F.col("longest_hit").isNotNull().alias("grounded"), "longest_hit")
@@ -125,7 +129,7 @@ def grounded(mentions: DataFrame, key: str, name: str, text: str, spellings: Dat
 def spellings_of(reagents: DataFrame, name: str = "canonical_id") -> DataFrame:
     """(name, flat): every spelling without punctuation, of at least three characters."""
     all_names = F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    return reagents.select(name, F.explode(all_names).alias("s")).select(name, flat_alnum(F.col("s")).alias("flat")).where(F.length("flat") >= 3).distinct()
+    return reagents.select(name, F.explode(all_names).alias("s")).select(name, flat_alnum(F.col("s")).alias("flat")).where(F.length("flat") >= SHORTEST).distinct()
 
 
 def best_ratio(df: DataFrame, name: str, text: str, out: str = "similarity") -> DataFrame:

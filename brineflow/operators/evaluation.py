@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.functions import stats as S
-from brineflow.operators.ranks import global_rank
+from brineflow.operators.ranks import global_rank, running_sums
 from brineflow.runtime.session import bounded_rows
 
 #: Labels of a prior that are sent to every query.
@@ -33,7 +33,7 @@ def multiset_matches(truth: DataFrame, predicted: DataFrame, keys: list[str]) ->
 def frequency_prior(train: DataFrame, label: str) -> DataFrame:
     """(label, n, rank): labels by frequency, ties by label."""
     g = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(label))))
+    return global_rank(g, [F.desc("n"), F.asc(label)], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def votes(hits: DataFrame, labels: DataFrame, query: str, target: str, weight: str, label: str, most: int = 25) -> DataFrame:
@@ -79,9 +79,9 @@ def weighted_accuracy(sample: DataFrame, population: DataFrame, stratum: str, co
 def auc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """(auc, average_precision, n_pos, n): by sums over distinct scores, so ties count half and no row ranks are needed."""
     g = df.groupBy(score.alias("s")).agg(F.sum(F.when(label, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("m", F.col("n") - F.col("p"))
-    upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    r = g.withColumn("below", F.coalesce(F.sum("m").over(upto), F.lit(0))).withColumn("tp", F.sum("p").over(above)).withColumn("seen", F.sum("n").over(above))
+    total = g.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # one row
+    r = running_sums(g, [F.asc("s")], ["m", "p", "n"]).join(F.broadcast(total))
+    r = r.withColumnRenamed("m_before", "below").withColumn("tp", F.col("all_p") - F.col("p_before")).withColumn("seen", F.col("all_n") - F.col("n_before"))
     t = r.agg(F.sum(F.col("p") * (F.col("below") + F.col("m") / 2)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("ap"))
     return t.select(F.when((F.col("n_pos") > 0) & (F.col("n") > F.col("n_pos")), F.col("u") / (F.col("n_pos") * (F.col("n") - F.col("n_pos")))).alias("auc"), (F.col("ap") / F.col("n_pos")).alias("average_precision"), "n_pos", "n")
 

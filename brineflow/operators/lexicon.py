@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.functions.text import match_key, normalise, strip_prose, tidy_name, titrant_stripped, without_trailing_ph
+from brineflow.operators.ranks import running_sums
 from brineflow.runtime.session import bounded_rows
 
 
@@ -68,13 +69,11 @@ def lookup_cascade(df: DataFrame, name: str, index: DataFrame, columns: list[str
 
 
 def running_coverage(df: DataFrame, name: str, mass: str) -> DataFrame:
-    """Adds rank, share and cumulative coverage by descending mass, ties by name. The ranking is global; `df` is one row per name."""
-    order = Window.orderBy(F.desc(mass), F.asc(name))
-    total = Window.partitionBy()
-    return (
-        df.withColumn("rank", F.row_number().over(order))
-        .withColumn("coverage", F.sum(mass).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(mass).over(total))
-    )
+    """Adds rank, share and cumulative coverage by descending mass, ties by name. `df` is one row per name; ranges are summed by themselves."""
+    total = df.agg(F.sum(mass).alias("_total"))  # one row
+    summed = running_sums(df.withColumn("_one", F.lit(1).cast("bigint")), [F.desc(mass), F.asc(name)], [mass, "_one"]).join(F.broadcast(total))
+    coverage = (F.col(f"{mass}_before") + F.col(mass)) / F.col("_total")
+    return summed.select(*df.columns, (F.col("_one_before") + 1).cast("int").alias("rank"), coverage.alias("coverage"))
 
 
 def names_to_cover(ranked: DataFrame, targets: list[float]) -> DataFrame:

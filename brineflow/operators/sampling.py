@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brineflow.functions.stats import hash_fold
 from brineflow.functions.text import dedup_key
 from brineflow.operators.graph import connected_components
-from brineflow.operators.ranks import band_of_rank, global_rank
+from brineflow.operators.joins import heavy_light_join
+from brineflow.operators.ranks import band_of_rank, global_rank, smallest
 
 
 def component_folds(df: DataFrame, key: str, relations: list[str]) -> DataFrame:
@@ -21,7 +22,7 @@ def component_folds(df: DataFrame, key: str, relations: list[str]) -> DataFrame:
         part = df.where(F.col(c).isNotNull()).select(has.alias("a"), node(c).alias("b"))
         edges = part if edges is None else edges.unionByName(part)
     found = connected_components(edges.distinct())
-    rows = df.where(has.isNotNull()).select(key, has.alias("node")).join(found, "node")
+    rows = heavy_light_join(df.where(has.isNotNull()).select(key, has.alias("node")), found, "node", "inner")
     return rows.select(key, "component", hash_fold(F.col("component")).alias("fold"))
 
 
@@ -43,35 +44,38 @@ def allocation(df: DataFrame, strata: list[str], size: int, floor: int = 3) -> D
     return counts.withColumn("take", F.least(F.col("n"), (F.lit(floor) + F.floor(rest * F.col("n") / total)).cast("bigint")))
 
 
-def hash_rank(seed: str, key: Column, strata: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*strata).orderBy(F.sha2(F.concat(F.lit(seed), key.cast("string")), 256), key))
+def drawn(df: DataFrame, key: str, strata: list[str], take: Column | int, seed: str = "s") -> DataFrame:
+    """The first `take` rows of each stratum by the SHA-256 of seed and key, ties by key."""
+    h = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
+    return smallest(df.withColumn("_h", h), strata, [F.asc("_h"), F.asc(key)], F.col(key), take).drop("_h", "_rank")
 
 
 def stratified(df: DataFrame, key: str, strata: list[str], size: int, floor: int = 3, seed: str = "s") -> DataFrame:
+    """A draw from each stratum of the size that `allocation` gives it; the strata are few beside the rows and are sent to them if their number allows it."""
     takes = allocation(df, strata, size, floor)
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in strata]
-    ranked = df.withColumn("_rank", hash_rank(seed, F.col(key), strata)).alias("l").join(takes.alias("r"), same)
-    return ranked.where(F.col("_rank") <= F.col("take")).select("l.*").drop("_rank")
+    joined = df.alias("l").join(takes.alias("r"), same).select("l.*", F.col("r.take").alias("_take"))
+    return drawn(joined, key, strata, F.col("_take"), seed).drop("_take")
 
 
 def banded_sample(df: DataFrame, key: str, value: str, bands: int, per_band: int, seed: str = "s") -> DataFrame:
     """A draw from each of `bands` bands of equal count by value."""
     ranked = global_rank(df, [F.asc(value), F.asc(key)], "_global")
     banded = ranked.withColumn("band", band_of_rank(F.col("_global"), F.lit(df.count()), bands)).drop("_global")
-    return banded.withColumn("_rank", hash_rank(seed, F.col(key), ["band"])).where(F.col("_rank") <= per_band).drop("_rank")
+    return drawn(banded, key, ["band"], per_band, seed)
 
 
 def forced_sample(df: DataFrame, key: str, rare: Column, size: int, n_rare: int, seed: str = "s") -> DataFrame:
     """A sample with a fixed number of rows of a rare kind."""
-    ranked = df.withColumn("_is", F.coalesce(rare, F.lit(False))).withColumn("_rank", hash_rank(seed, F.col(key), ["_is"]))
-    return ranked.where(F.col("_rank") <= F.when(F.col("_is"), n_rare).otherwise(size - n_rare)).drop("_is", "_rank")
+    marked = df.withColumn("_is", F.coalesce(rare, F.lit(False)))
+    return drawn(marked, key, ["_is"], F.when(F.col("_is"), n_rare).otherwise(size - n_rare), seed).drop("_is")
 
 
 def balanced_texts(df: DataFrame, key: str, text: str, by: str, per_group: int, low: int = 20, high: int = 220, seed: str = "s") -> DataFrame:
     """Texts of bounded length, one per distinct text, the same number from each provenance."""
     kept = df.where(F.length(text).between(low + 1, high - 1)).withColumn("_k", dedup_key(F.col(text)))
     first = kept.withColumn("_rn", F.row_number().over(Window.partitionBy("_k").orderBy(key))).where("_rn = 1").drop("_rn", "_k")
-    return first.withColumn("_rank", hash_rank(seed, F.col(key), [by])).where(F.col("_rank") <= per_group).drop("_rank")
+    return drawn(first, key, [by], per_group, seed)
 
 
 def hold_out(df: DataFrame, held: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brineflow.operators.ranks import global_rank
+
 from brineflow.functions import stats as S
 
 
@@ -88,8 +90,12 @@ def length_batches(df: DataFrame, key: str, length: str, budget: int) -> DataFra
     """(key, width, batch): batches of equal padded width with at most `budget` padded positions."""
     width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col(length), F.lit(16))))).cast("int")
     per = F.greatest(F.floor(F.lit(budget) / F.col("width")), F.lit(1))
-    ranked = df.select(key, width.alias("width")).withColumn("_r", F.row_number().over(Window.partitionBy("width").orderBy(key)) - 1)
-    return ranked.select(key, "width", F.floor(F.col("_r") / per).cast("bigint").alias("batch"))
+    sized = df.select(key, width.alias("width"))
+    ranked = global_rank(sized, [F.asc("width"), F.asc(key)], "_r")
+    before = Window.orderBy("width").rowsBetween(Window.unboundedPreceding, -1)  # widths are powers of two, so some thirty
+    offsets = sized.groupBy("width").agg(F.count(F.lit(1)).alias("_n")).select("width", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranked.join(F.broadcast(offsets), "width")
+    return placed.select(key, "width", F.floor((F.col("_r") - 1 - F.col("_before")) / per).cast("bigint").alias("batch"))
 
 
 def mean_vector(df: DataFrame, by: str, vector: str) -> DataFrame:
@@ -105,10 +111,28 @@ def ranked_labels(scores: Column, labels: list[str], k: int) -> Column:
 
 
 def boosted_trees(train: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 7):
-    """A fitted pipeline of gradient-boosted trees; rows with null features are skipped. Its impurity importances are in the last stage."""
+    """A fitted pipeline of gradient-boosted trees; a null feature takes its median, so every row is used and scored. Its impurity importances are in the last stage."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed)]).fit(train)
+    from pyspark.ml.feature import Imputer, VectorAssembler
+
+    whole = [f"_{f}" for f in features]
+    stages = [Imputer(inputCols=features, outputCols=whole, strategy="median"), VectorAssembler(inputCols=whole, outputCol="features"), GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, seed=seed)]
+    return Pipeline(stages=stages).fit(train)
+
+
+def permutation_importance(model, rows: DataFrame, features: list[str], label: str, seed: str = "s") -> DataFrame:
+    """(feature, accuracy, drop): the accuracy with one feature dealt anew among the rows, and how much it is below the accuracy as it is.
+
+    Values are dealt by two hash orders: the row of one rank gets the value of the other's, so the draw is repeatable.
+    """
+    right = lambda df: df.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+    base, out = right(model.transform(rows)), []
+    keyed = rows.withColumn("_k", F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith(("map", "struct"))]))
+    for f in features:
+        order = lambda s: [F.sha2(F.concat(F.lit(seed + s + f), F.col("_k").cast("string")), 256), F.col("_k")]
+        values = global_rank(keyed.select(F.col(f).alias("_v"), "_k"), order("v"), "_r").select("_r", "_v")
+        dealt = global_rank(keyed, order("r"), "_r").join(values, "_r").withColumn(f, F.col("_v"))
+        accuracy = right(model.transform(dealt))
+        out.append((f, accuracy, base - accuracy))
+    return rows.sparkSession.createDataFrame(out, "feature string, accuracy double, drop double")

@@ -13,6 +13,8 @@ from brineflow.runtime.session import ship_code
 
 #: Queries held by a worker at once; more queries take several passes over the rows.
 BLOCK = 20_000
+#: Similarities a worker holds at once: a batch of rows is taken in pieces of this many queries times rows.
+CELLS = 4_000_000
 
 
 def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -36,7 +38,7 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str,
             ids, q = shared.value
             best_s = np.full((len(ids), 0), 0.0)
             best_t = np.zeros((len(ids), 0), dtype=np.int64)
-            for b in batches:
+            for b in _pieces(batches, max(1, CELLS // len(ids))):
                 valid = b.column(1).is_valid().to_numpy(zero_copy_only=False)
                 if not valid.any():
                     continue
@@ -62,6 +64,12 @@ def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return v / np.linalg.norm(v, axis=1, keepdims=True)

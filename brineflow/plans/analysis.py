@@ -399,7 +399,13 @@ def q_route(t: Tables) -> DataFrame:
     return t.conditions.select("record_id", corpus.route(usable, F.coalesce(F.col("crystal_id") == "2", F.lit(False)), F.col("split"), F.col("n_components")).alias("route"))
 
 
-@registry.add()
+@registry.add("""
+    WITH s AS (SELECT DISTINCT canonical_id, regexp_replace(lower(a), '[^a-z0-9]', '', 'g') AS flat FROM (SELECT canonical_id, unnest(list_concat([display_name], coalesce(aliases, []))) AS a FROM reagents) WHERE length(regexp_replace(lower(a), '[^a-z0-9]', '', 'g')) >= 3),
+    g AS (SELECT flat, list(longer ORDER BY length(longer) DESC, longer) AS longer FROM (SELECT DISTINCT a.flat, b.flat AS longer FROM s a JOIN s b ON starts_with(b.flat, a.flat) AND length(b.flat) > length(a.flat) AND a.canonical_id <> b.canonical_id) GROUP BY flat),
+    m AS (SELECT DISTINCT k.record_id, k.name_canonical AS canonical_id, regexp_replace(lower(c.raw_details), '[^a-z0-9]', '', 'g') AS t FROM components k JOIN conditions c ON c.record_id = k.record_id WHERE k.name_canonical IS NOT NULL AND c.raw_details IS NOT NULL),
+    h AS (SELECT m.record_id, m.canonical_id, max(length(s.flat)) AS longest_hit FROM m JOIN s ON s.canonical_id = m.canonical_id AND contains(m.t, s.flat) LEFT JOIN g ON g.flat = s.flat
+          WHERE contains(list_reduce(list_prepend(m.t, coalesce(g.longer, [])), lambda acc, w: replace(acc, w, '#')), s.flat) GROUP BY ALL)
+    SELECT m.record_id, m.canonical_id, h.longest_hit IS NOT NULL AS grounded, CAST(h.longest_hit AS INTEGER) AS longest_hit FROM m LEFT JOIN h ON h.record_id = m.record_id AND h.canonical_id = m.canonical_id""")
 def q_grounding(t: Tables) -> DataFrame:
     c = t.conditions.where(F.col("raw_details").isNotNull()).select("record_id", "raw_details")
     k = t.components.where("name_canonical IS NOT NULL").select("record_id", F.col("name_canonical").alias("canonical_id")).distinct()

@@ -543,3 +543,55 @@ def test_parser_roles_titrants_and_premixes(spark):
     assert roles[1] == {"mix b": ("buffer", None), "mix p": ("precipitant", None)}
     assert [roles[i] for i in (3, 4, 5, 9)] == [{"glycerol": ("cryo", "inferred")}, {"glycerol": ("precipitant", None)}, {"sodium hydroxide": ("additive", None)}, {"glycerol": ("cryo", "inferred")}]
     assert next(iter(roles[2].values())) == ("cryo", "explicit") and set(roles) == {0, 1, 2, 3, 4, 5, 8, 9}
+
+
+def test_grounding_looks_at_longer_spellings_of_any_length(spark):
+    from brineflow.operators import corpus
+
+    spellings = spark.createDataFrame([("MES", "mes"), ("MESYLATE", "mesylate"), ("PEG_400", "peg400"), ("PEG_4000", "peg4000")], "name string, flat string")
+    texts = [(1, "MES", "0.1 M mesylate"), (2, "MES", "0.1 M MES, mesylate"), (3, "PEG_400", "20% PEG 4000"), (4, "PEG_400", "PEG 4000, PEG 400"), (5, "MES", ""), (6, "MES", None)]
+    got = {r["k"]: r["grounded"] for r in corpus.grounded(spark.createDataFrame(texts, "k int, name string, t string"), "k", "name", "t", spellings).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.9])
+def test_similar_sequences_recall_at_the_threshold(spark, similarity):
+    """Pairs just above the threshold, against all pairs."""
+    import random
+
+    rng = random.Random(int(similarity * 10))
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    kmers = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    sequences = []
+    while len(sequences) < 240:
+        a = "".join(rng.choice(letters) for _ in range(160))
+        for _ in range(60):
+            b = list(a)
+            for i in rng.sample(range(160), rng.randrange(1, 26)):
+                b[i] = rng.choice(letters)
+            b = "".join(b)
+            if similarity <= jaccard(kmers(a), kmers(b)) < similarity + 0.07:
+                sequences += [a, b]
+                break
+    df = spark.createDataFrame(list(enumerate(sequences)), "id int, s string")
+    sets = list(map(kmers, sequences))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= similarity}
+    got = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in link.similar_sequences(df, "id", "s", similarity).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 100
+
+
+def test_components_in_one_task_and_by_rounds_are_the_same(spark, monkeypatch):
+    import random
+
+    from brineflow.operators import graph
+
+    rng = random.Random(3)
+    edges = [(f"v{i:02d}", f"v{i + 1:02d}") for i in range(40)] + [("hub", f"h{i}") for i in range(30)] + [(f"r{rng.randrange(40):02d}", f"r{rng.randrange(40):02d}") for _ in range(30)] + [("solo", "solo")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    found = lambda: rows(graph.connected_components(df), "node", "component")
+    want = found()
+    assert ("v40", "v00") in want and ("solo", "solo") in want and ("hub", "h0") in want
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 0)
+    assert found() == want
+    assert graph.connected_components(df.limit(0)).count() == 0
