@@ -206,3 +206,13 @@ def match_screens(records: DataFrame, key: str, wells: DataFrame) -> DataFrame:
     best = pairs.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("well_id"))).alias("m"))
     kind = F.when(F.col("m.s") == -2, "exact").when(F.col("m.s") == -1, "components_and_concentrations").otherwise("components_only")
     return best.select(key, F.col("m.well_id").alias("well_id"), kind.alias("kind"), (-F.col("m.s")).alias("score"))
+
+
+def centroid_text() -> Column:
+    """A centroid of log-scaled axes as people write it; what is absent is left out."""
+    power = lambda c: F.pow(F.lit(10.0), F.col(c))
+    parts = [
+        F.when(F.col("peg_log_mw").isNotNull(), F.concat(F.lit("PEG "), F.format_string("%.0f", power("peg_log_mw")))), F.when(F.col("peg_percent").isNotNull(), F.format_string("%.1f %% PEG", "peg_percent")),
+        F.when(F.col("salt_log_molar").isNotNull(), F.format_string("%.2f M salt", power("salt_log_molar"))), F.when(F.col("organic_percent").isNotNull(), F.format_string("%.1f %% organic", "organic_percent")), F.when(F.col("ph").isNotNull(), F.format_string("pH %.1f", "ph")),
+    ]
+    return F.concat_ws(", ", *parts)

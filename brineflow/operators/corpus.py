@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brineflow.functions.quantity import is_implausible
 from brineflow.functions.text import dedup_key, flat_alnum
-from brineflow.runtime.session import bounded_rows, spread
+from brineflow.runtime.session import bounded_rows, spread, written
 from brineflow.schemas import ANSWER, ROLES, UNITS
 
 #: Characters of the shortest spelling that is sought in a text.
@@ -106,7 +108,8 @@ def last_json_array(text: Column) -> Column:
 
 
 def component_key(role: Column, name: Column, amount: Column, unit: Column) -> Column:
-    return F.concat_ws("|", role, name, F.coalesce(F.format_string("%.4f", amount), F.lit("")), F.coalesce(unit, F.lit("")))
+    """Identity of a component with the amount to four places; a missing amount or unit is empty, a missing role or name left out."""
+    return F.concat_ws("|", role, name, F.when(amount.isNotNull(), F.format_string("%.4f", amount)).otherwise(""), F.coalesce(unit, F.lit("")))
 
 
 def grounded(mentions: DataFrame, key: str, name: str, text: str, spellings: DataFrame) -> DataFrame:
@@ -204,3 +207,84 @@ def replace_gaps(rules: DataFrame, model: DataFrame, keys: list[str], gap: Colum
 def length_percentiles(df: DataFrame, text: str) -> DataFrame:
     n = F.length(text)
     return df.where(F.col(text).isNotNull()).agg(F.percentile(n, F.lit(0.5)).alias("p50"), F.percentile(n, F.lit(0.99)).alias("p99"), F.max(n).alias("longest"), F.count(F.lit(1)).alias("n"))
+
+
+def mixed(base: DataFrame, extra: DataFrame, share: float) -> DataFrame:
+    """`base` and `extra`, the latter repeated until it has about a share of the mix; `repeat` numbers the copies."""
+    times = mixing_repeats(base.count(), extra.count(), share)
+    return base.withColumn("repeat", F.lit(1)).unionByName(oversample(extra, F.lit(times)), allowMissingColumns=True)
+
+
+def teacher_components(components: DataFrame, key: str, name: str, amount: str, text: str, spellings: DataFrame, least: int = 8) -> DataFrame:
+    """Components a teacher may be believed: with an amount, and named by a spelling of at least `least` characters in the text."""
+    found = grounded(components.select(key, name, text).distinct(), key, name, text, spellings).where(F.col("longest_hit") >= least)
+    return components.where(F.col(amount).isNotNull()).join(found.select(key, name), [key, name], "left_semi")
+
+
+def recanonicalised(snapshot: DataFrame, name: str, lookup: DataFrame, key: Callable[[Column], Column] = lambda c: F.lower(F.trim(c))) -> DataFrame:
+    """A stale snapshot with today's ids in `name_now` and what became of each name: kept, remapped or dropped. `lookup` is (key, canonical_id), ids among the keys."""
+    ids = lookup.select(F.col("canonical_id").alias("_id")).distinct()
+    j = snapshot.join(ids, F.col(name) == F.col("_id"), "left").withColumn("_key", key(F.col(name))).join(lookup.select(F.col("key").alias("_key"), F.col("canonical_id").alias("_now")), "_key", "left")
+    now = F.coalesce("_id", "_now")
+    return j.select(*snapshot.columns, now.alias("name_now"), F.when(now.isNull(), "dropped").when(now == F.col(name), "kept").otherwise("remapped").alias("fate"))
+
+
+def guarded_answers(
+    items: DataFrame, texts: DataFrame, keys: list[str], lookup: DataFrame, spellings: DataFrame, fuzzy: float | None = 0.75, key: Callable[[Column], Column] = lambda c: F.lower(F.trim(c)),
+) -> DataFrame:
+    """Answers of a model (keys, ordinal, role, name, amount, unit, valid) with what each guard says.
+
+    In order: `stale` if the record is not among `texts` (keys, text) any more, `invalid` if the answer did not parse,
+    `unknown` if the name resolves to nothing, `ungrounded` if no spelling of it stands in the text, nor a near miss
+    of at least `fuzzy`; else `kept`. What is no component needs neither name nor place. Impossible amounts are cleared
+    and marked; `rescued` says whether an alias or a near miss saved a row. Ratios are computed for rows only that are
+    not grounded as they stand.
+    """
+    j = items.join(texts.select(*keys, F.col("text").alias("_text"), F.lit(True).alias("_there")), keys, "left")
+    resolved = recanonicalised(j, "name", lookup, key).withColumn("_row", F.xxhash64(*keys, "ordinal"))
+    none = F.coalesce(F.col("role") == "not_a_component", F.lit(False))
+    open_rows = written(resolved.withColumn("_none", none), "answers")
+    sought = open_rows.where("_there AND valid AND NOT _none AND name_now IS NOT NULL").select("_row", "name_now", "_text").distinct()
+    found = grounded(sought, "_row", "name_now", "_text", spellings.withColumnRenamed(spellings.columns[0], "name_now")).select("_row", "name_now", F.col("grounded").alias("_grounded"))
+    out = open_rows.join(found, ["_row", "name_now"], "left")
+    near = F.lit(False)
+    if fuzzy is not None:
+        missed = out.where("_there AND valid AND NOT _none AND NOT _grounded").select("_row", "name_now", "_text")
+        named = missed.join(spellings.withColumnRenamed(spellings.columns[0], "name_now"), "name_now").withColumn("_flat", flat_alnum(F.col("_text")))
+        scored = best_ratio(named, "flat", "_flat", "_ratio").groupBy("_row", "name_now").agg(F.max("_ratio").alias("_ratio"))
+        out = out.join(scored, ["_row", "name_now"], "left")
+        near = F.coalesce(F.col("_ratio") >= fuzzy, F.lit(False))
+    outcome = (
+        F.when(F.col("_there").isNull(), "stale").when(~F.coalesce(F.col("valid"), F.lit(False)), "invalid").when(F.col("_none"), "kept")
+        .when(F.col("name_now").isNull(), "unknown").when(~(F.coalesce(F.col("_grounded"), F.lit(False)) | near), "ungrounded").otherwise("kept")
+    )
+    impossible = is_implausible(F.col("amount"), F.col("unit"))
+    rescued = F.when(F.col("outcome") == "kept", F.when(~F.col("_none") & ~F.coalesce(F.col("_grounded"), F.lit(False)), "typo").when(~F.col("_none") & (F.col("fate") == "remapped"), "alias"))
+    done = out.withColumn("outcome", outcome).withColumn("implausible", impossible)
+    return done.select(
+        *keys, "ordinal", "role", "name", F.when((F.col("outcome") == "kept") & ~F.col("_none"), F.col("name_now")).alias("name_canonical"),
+        F.when(~F.col("implausible"), F.col("amount")).alias("amount"), F.when(~F.col("implausible"), F.col("unit")).alias("unit"), "implausible", "outcome", rescued.alias("rescued"),
+    )
+
+
+def guard_counts(guarded: DataFrame) -> DataFrame:
+    """(outcome, n, n_rescued, n_implausible) of `guarded_answers`."""
+    return guarded.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count("rescued").alias("n_rescued"), F.count_if("implausible").alias("n_implausible"))
+
+
+def answered(df: DataFrame, key: str, text: str, model: Callable[[], Callable[[list[str]], list[str]]], done: DataFrame | None = None, batch: int = 64) -> DataFrame:
+    """(key, answer) of every row that `done` (key, ...) does not have yet, so a run that was cut short goes on where its output ends.
+
+    `model` makes the callable in each task, once; it gets lists of at most `batch` texts. Null text is not asked.
+    """
+    rows = df.select(key, text).where(F.col(text).isNotNull())
+    if done is not None:
+        rows = rows.join(done.select(key).distinct(), key, "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = model()
+        for f in frames:
+            answers = [a for at in range(0, len(f), batch) for a in ask(f.iloc[at : at + batch, 1].tolist())]
+            yield pd.DataFrame({key: f.iloc[:, 0], "answer": answers})
+
+    return spread(rows).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, answer string")

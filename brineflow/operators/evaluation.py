@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brineflow.functions import stats as S
+from brineflow.operators.joins import heavy_light_join
 from brineflow.operators.ranks import global_rank, running_sums
 from brineflow.runtime.session import bounded_rows
 
@@ -105,3 +106,72 @@ def gates(df: DataFrame, successes: str, n: str, least: float) -> DataFrame:
 def margin(a: Column, b: Column, least: float) -> Column:
     """Whether a beats b by at least the margin below which a model is dropped."""
     return F.coalesce(a - b >= least, F.lit(False))
+
+
+def label_sets(rows: DataFrame, by: str, label: str) -> DataFrame:
+    """(by, labels): the set of labels seen with each value, combined before the shuffle; labels are a closed vocabulary."""
+    return rows.where(F.col(by).isNotNull() & F.col(label).isNotNull()).groupBy(by).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+
+
+def multilabel_hits(records: DataFrame, key: str, label: str, clusters: list[str], ranked: DataFrame, ks: list[int], n_classes: int) -> DataFrame:
+    """(mode, k, n, hit, coverage, mean_labels): whether a label that is true for a record is among its first k, for truth by record and by each cluster.
+
+    `ranked` is (key, ranked array). Records without a true label do not count; hit is null where k is no restriction.
+    """
+    out = None
+    base = records.join(ranked.select(key, "ranked"), key, "left")
+    for mode in ["record", *clusters]:
+        if mode == "record":
+            true = base.withColumn("labels", F.array_compact(F.array(label)))
+        else:
+            true = heavy_light_join(base, label_sets(records, mode, label), mode)
+        counted = true.where(F.size(F.coalesce("labels", F.array().cast("array<string>"))) > 0).withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+        hits = [F.avg(F.arrays_overlap("labels", F.slice("ranked", 1, k)).cast("double")).alias(f"k{k}") for k in ks]
+        g = counted.agg(F.count(F.lit(1)).alias("n"), F.avg((F.size("ranked") > 0).cast("double")).alias("coverage"), F.avg(F.size("labels")).alias("mean_labels"), *hits)
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"k{k}") if k < n_classes else F.lit(None).cast("double")).alias("hit")) for k in ks])).alias("x")
+        part = g.select("n", "coverage", "mean_labels", each).select(F.lit(mode).alias("mode"), "x.k", "n", "x.hit", "coverage", "mean_labels")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def gold_scores(gold: DataFrame, sources: dict[str, DataFrame], combined: dict[str, tuple[str, list[str]]], keys: list[str], name: str) -> DataFrame:
+    """(source, tp, fp, fn, precision, recall, f1, f05): names of each source, and of unions and agreements, against gold (keys, name).
+
+    `combined` names (union or agreement, sources). A record with a gold name of null is incomplete and judges nobody;
+    a record that no source mentions counts as missed.
+    """
+    named = gold.groupBy(*keys).agg(F.collect_set(name).alias("_gold"), F.max(F.col(name).isNull()).alias("_incomplete")).where("NOT _incomplete").drop("_incomplete")
+    for label, df in sources.items():
+        found = df.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.collect_set(name).alias(f"_{label}"))
+        named = named.join(found, keys, "left")
+    empty = F.array().cast("array<string>")
+    sets = {label: F.coalesce(f"_{label}", empty) for label in sources}
+    for label, (how, parts) in combined.items():
+        one = sets[parts[0]]
+        for p in parts[1:]:
+            one = F.array_union(one, sets[p]) if how == "union" else F.array_intersect(one, sets[p])
+        sets[label] = one
+    each = F.explode(F.array(*[F.struct(F.lit(label).alias("source"), s.alias("found")) for label, s in sets.items()])).alias("x")
+    rows = named.select("_gold", each).select("x.source", "_gold", "x.found")
+    g = rows.groupBy("source").agg(F.sum(F.size(F.array_intersect("_gold", "found"))).alias("tp"), F.sum(F.size(F.array_except("found", "_gold"))).alias("fp"), F.sum(F.size(F.array_except("_gold", "found"))).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return g.select("source", "tp", "fp", "fn", S.precision(tp, fp).alias("precision"), S.recall(tp, fn).alias("recall"), S.f_score(tp, fp, fn).alias("f1"), S.f_score(tp, fp, fn, 0.5).alias("f05"))
+
+
+def unresolved(gold: DataFrame, raw: str, name: str) -> DataFrame:
+    """(raw, n): gold labels that resolve to nothing, the most frequent first."""
+    return gold.where(F.col(name).isNull() & F.col(raw).isNotNull()).groupBy(raw).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), raw)
+
+
+def audit_scores(sample: DataFrame, correct: str, by: list[str], tags: str | None = None) -> DataFrame:
+    """(dimension, value, n, n_correct, accuracy, low, high): accuracy over all, by each dimension and, for wrong rows, by error tag (whose accuracy is null)."""
+    dims = F.array(F.struct(F.lit("all").alias("d"), F.lit("all").alias("v")), *[F.struct(F.lit(c).alias("d"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("v")) for c in by])
+    ok = F.coalesce(F.col(correct), F.lit(False))
+    g = sample.select(F.explode(dims).alias("x"), ok.alias("ok")).groupBy(F.col("x.d").alias("dimension"), F.col("x.v").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_correct"))
+    w = S.wilson(F.col("n_correct"), F.col("n"))
+    out = g.select("dimension", "value", "n", "n_correct", (F.col("n_correct") / F.col("n")).alias("accuracy"), w["low"].alias("low"), w["high"].alias("high"))
+    if tags is None:
+        return out
+    none = F.lit(None).cast("double")
+    wrong = sample.where(~ok).select(F.explode(tags).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(wrong.select(F.lit("error").alias("dimension"), "value", "n", F.lit(0).cast("bigint").alias("n_correct"), none.alias("accuracy"), none.alias("low"), none.alias("high")))

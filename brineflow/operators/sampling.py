@@ -100,3 +100,13 @@ def merged_proposals(sources: list[tuple[str, DataFrame]], keys: list[str], name
         part = df.select(*keys, name, F.lit(rank).alias("_rank"), F.lit(label).alias("source"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy(*keys, name).agg(F.min_by("source", "_rank").alias("source"))
+
+
+def disagreement(a: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, stratum, only_a, only_b): records on whose names two sources differ, by who has more: both, a_only or b_only; agreements are left out."""
+    side = lambda df, c: df.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.collect_set(name).alias(c))
+    j = side(a, "_a").join(side(b, "_b"), keys, "full_outer")
+    empty = F.array().cast("array<string>")
+    x, y = F.coalesce("_a", empty), F.coalesce("_b", empty)
+    d = j.select(*keys, F.size(F.array_except(x, y)).alias("only_a"), F.size(F.array_except(y, x)).alias("only_b"))
+    return d.withColumn("stratum", F.when((F.col("only_a") > 0) & (F.col("only_b") > 0), "both").when(F.col("only_a") > 0, "a_only").when(F.col("only_b") > 0, "b_only")).where("stratum IS NOT NULL")

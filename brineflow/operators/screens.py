@@ -62,3 +62,12 @@ def witness(counts: DataFrame, found: str, declared: str) -> DataFrame:
 
 def natural_order(well: str) -> list:
     return [F.substring(well, 1, 1), F.substring(well, 2, 3).try_cast("int")]
+
+
+def filled_pages(lines: DataFrame, screen: str, page: str, number: str, text: str, shortest: int = 8) -> DataFrame:
+    """(screen, number, text, page): the page with the most whole lines (at least `shortest` characters), and from the others the numbers it does not have; the first page by name decides ties. A number that was read is never replaced."""
+    whole = lines.where(F.length(text) >= shortest)
+    counts = whole.groupBy(screen, page).agg(F.countDistinct(number).alias("_n"))
+    order = F.row_number().over(Window.partitionBy(screen).orderBy(F.desc("_n"), F.asc(page)))
+    ranked = whole.join(counts.withColumn("_order", order), [screen, page])
+    return ranked.groupBy(screen, number).agg(F.min_by(F.struct(text, page), F.struct("_order", text)).alias("x")).select(screen, number, f"x.{text}", f"x.{page}")

@@ -595,3 +595,75 @@ def test_components_in_one_task_and_by_rounds_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL_GRAPH", 0)
     assert found() == want
     assert graph.connected_components(df.limit(0)).count() == 0
+
+
+def test_answer_guards_with_near_misses(spark):
+    lookup = spark.createDataFrame([("nacl", "SODIUM_CHLORIDE"), ("sodium chloride", "SODIUM_CHLORIDE"), ("glycerol", "GLYCEROL"), ("sodium_chloride", "SODIUM_CHLORIDE")], "key string, canonical_id string")
+    spellings = spark.createDataFrame([("SODIUM_CHLORIDE", "nacl"), ("SODIUM_CHLORIDE", "sodiumchloride"), ("GLYCEROL", "glycerol")], "canonical_id string, flat string")
+    texts = spark.createDataFrame([(1, "0.2 M sodium chlorde and protein"), (2, "NaCl"), (3, None)], "r int, text string")
+    items = [
+        (1, 1, "salt", "SODIUM_CHLORIDE", 0.2, "molar", True), (1, 2, "cryo", "GLYCEROL", 10.0, "percent_v_v", True), (1, 3, "not_a_component", "protein", None, None, True), (2, 1, "salt", "NaCl", 900.0, "molar", True),
+        (2, 2, "salt", "unobtainium", 1.0, "molar", True), (2, 3, "salt", None, 1.0, "molar", True), (3, 1, "salt", "NaCl", 1.0, "molar", True), (9, 1, "salt", "NaCl", 1.0, "molar", True), (2, 4, "salt", "NaCl", 1.0, "molar", False),
+    ]
+    df = spark.createDataFrame(items, "r int, ordinal int, role string, name string, amount double, unit string, valid boolean")
+    g = {(x["r"], x["ordinal"]): x for x in corpus.guarded_answers(df, texts, ["r"], lookup, spellings).collect()}
+    assert {k: x["outcome"] for k, x in g.items()} == {(1, 1): "kept", (1, 2): "ungrounded", (1, 3): "kept", (2, 1): "kept", (2, 2): "unknown", (2, 3): "unknown", (3, 1): "ungrounded", (9, 1): "stale", (2, 4): "invalid"}
+    assert g[1, 1]["rescued"] == "typo" and g[2, 1]["rescued"] == "alias" and g[2, 1]["implausible"] and g[2, 1]["amount"] is None and g[2, 1]["name_canonical"] == "SODIUM_CHLORIDE"
+    counts = {x["outcome"]: (x["n"], x["n_rescued"]) for x in corpus.guard_counts(corpus.guarded_answers(df, texts, ["r"], lookup, spellings)).collect()}
+    assert counts["kept"] == (3, 2) and counts["unknown"] == (2, 0)
+    assert corpus.guarded_answers(df.limit(0), texts, ["r"], lookup, spellings).count() == 0
+
+
+def test_answers_go_on_where_they_ended(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(10)], "k int, text string")
+
+    def model():
+        return lambda texts: [t.upper() for t in texts if len(texts) <= 4]
+
+    done = corpus.answered(df.limit(4), "k", "text", model, batch=4)
+    done.write.parquet(f"{tmp_path}/a")
+    rest = corpus.answered(df, "k", "text", model, spark.read.parquet(f"{tmp_path}/a"), batch=4)
+    assert rows(rest, "k", "answer") == [(i, f"T{i}") for i in range(4, 10)]
+
+
+def test_bucket_answers_keep_the_invariants(spark):
+    from brineflow.operators import curation
+
+    queue = [("PEG 1500", "new:peg", None, "peg", 3), ("peg blend", "new:peg", None, "peg", 2), ("bicine", "new:buffer", None, "buffer", 5), ("mystery buffer", "new:buffer", None, "buffer", 1), ("NaCl", "map:salt", "SODIUM_CHLORIDE", "salt", 9), ("salt x", "map:salt", "NOWHERE", "salt", 1), ("salt y", "map:salt", "SODIUM_CHLORIDE", "salt", 1), ("???", "new:salt", None, "salt", 1), ("ether", "new:organic", None, "organic", 1), ("later", "open", None, None, 1)]
+    q = spark.createDataFrame(queue, "name string, bucket string, target string, chem_class string, weight int")
+    answers = spark.createDataFrame([("new:peg", "new"), ("new:buffer", "new"), ("map:salt", "accept"), ("new:salt", "new"), ("new:organic", "new")], "bucket string, chosen string")
+    aliases = spark.createDataFrame([("nacl", "SODIUM_CHLORIDE")], "name string, owner string")
+    got = {r["name"]: r for r in curation.apply_bucket_answers(q, answers, aliases, spark.createDataFrame([("bicine", 8.35)], "name string, pka double")).collect()}
+    assert {n: r["outcome"] for n, r in got.items()} == {"PEG 1500": "new", "peg blend": "skipped", "bicine": "new", "mystery buffer": "skipped", "NaCl": "skipped", "salt x": "skipped", "salt y": "alias", "???": "skipped", "ether": "new", "later": "left"}
+    assert (got["PEG 1500"]["peg_mw"], got["PEG 1500"]["default_unit"], got["bicine"]["buffer_pka"], got["ether"]["default_unit"]) == (1500, "percent_w_v", 8.35, "percent_v_v")
+    assert {got[n]["why"] for n in ("peg blend", "mystery buffer", "NaCl", "salt x", "???")} == {"no weight in the name", "no known pKa", "already an alias of SODIUM_CHLORIDE", "target not in the lexicon", "no legal id"}
+
+
+def test_trees_use_rows_with_nulls_and_importances_find_the_feature(spark):
+    rng = random.Random(1)
+    data = [(i, float(i % 10), rng.random() if i % 7 else None, int(i % 10 > 4)) for i in range(200)]
+    df = spark.createDataFrame(data, "k int, a double, b double, y int").cache()
+    model = sequence.boosted_trees(df, ["a", "b"], "y", trees=3, depth=2)
+    assert model.transform(df).count() == 200
+    drop = {r["feature"]: r["drop"] for r in sequence.permutation_importance(model, df, ["a", "b"], "y").collect()}
+    assert drop["a"] > 0.2 and abs(drop["b"]) < 0.1
+
+
+def test_draws_sums_and_batches_in_parts_are_the_same_as_in_one(spark):
+    from brineflow.operators import ranks
+
+    data = [(i, "hot" if i % 3 else f"g{i % 5}", (i * 37) % 101) for i in range(600)]
+    df = spark.createDataFrame(data, "k int, g string, v int")
+    import hashlib
+
+    h = lambda k: hashlib.sha256(f"s{k}".encode()).hexdigest()
+    want = {k for g in {d[1] for d in data} for k in sorted((d[0] for d in data if d[1] == g), key=h)[:4]}
+    assert {r["k"] for r in sampling.drawn(df, "k", ["g"], 4).collect()} == want
+    total = {}
+    run = 0
+    for k, _, v in sorted(data, key=lambda d: (d[2], d[0])):
+        total[k] = run
+        run += v
+    assert {r["k"]: r["v_before"] for r in ranks.running_sums(df, [F.asc("v"), F.asc("k")], ["v"]).collect()} == total
+    near = vectors.nearest_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, v array<double>"), spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "id bigint, v array<double>"), "id", "v", 3)
+    assert [r["target"] for r in near.orderBy("rank").collect()] == [6, 13, 20]

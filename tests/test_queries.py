@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from brineflow.plans import analysis, pipeline, relational, sampling
+from brineflow.plans import analysis, curation, pipeline, relational, sampling
 from tests.compare import assert_same, database
 
-MODULES = (analysis, pipeline, relational, sampling)
+MODULES = (analysis, curation, pipeline, relational, sampling)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
 
