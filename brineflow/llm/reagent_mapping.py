@@ -8,8 +8,9 @@ or it is followed by a noun that it only qualifies (a kinase, an inhibitor). Wor
 with their closest counterpart by edits, numbers must agree. Values below the threshold, and those about as close to
 two entries, are unmatched.
 
-The list is a bounded dimension: above MAX_ENTRIES entries the operator raises rather than broadcasting it. Names are
-resolved in Arrow batches with a table of names seen per worker, so nothing is shuffled.
+The list is a bounded dimension: above MAX_ENTRIES entries the operator raises rather than broadcasting it. Rows are
+first counted per name, combined before the shuffle, so each distinct name is resolved once, in Arrow batches; the result
+is joined to the rows with the names that hold many rows split off.
 
 Defined results: null and blank names are left out; a name that is only numbers, units or codes is unmatched.
 """
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brineflow.operators.joins import HEAVY_SHARE, heavy_light_join
 from brineflow.operators.units import common, parse_unit
-from brineflow.runtime.session import bounded_rows, ship_code, spread
+from brineflow.runtime.session import bounded_rows, parallelism, ship_code, written
 
 UNMATCHED = "UNMATCHED"
 MAX_ENTRIES = 50_000
@@ -332,7 +334,11 @@ def map_names(df: DataFrame, key: str, name: str, canonical: str, reagents: Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([matcher.match(n) or UNMATCHED for n in b.column(1).to_pylist()], pa.string())], names=[key, "canonical_id"])
-
-    open_rows = df.where(F.col(name).rlike(r"(?U)[^\s]") & ~F.coalesce(F.col(canonical).isin(ids), F.lit(False))).select(F.col(key), F.col(name))
-    return spread(open_rows).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, canonical_id string")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([matcher.match(n) or UNMATCHED for n in b.column(0).to_pylist()], pa.string())], names=["_name", "_n", "canonical_id"])
+
+    open_rows = df.where(F.col(name).rlike(r"(?U)[^\s]") & ~F.coalesce(F.col(canonical).isin(ids), F.lit(False))).select(F.col(key).alias("_key"), F.col(name).alias("_name"))
+    counted = open_rows.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).repartition(parallelism(df.sparkSession))
+    matched = written(counted.mapInArrow(run, "_name string, _n bigint, canonical_id string"), "matched")
+    total = matched.agg(F.sum("_n")).first()[0] or 0
+    heavy = [r["_name"] for r in matched.where(F.col("_n") >= max(2, HEAVY_SHARE * total)).orderBy(F.desc("_n")).limit(int(1 / HEAVY_SHARE)).collect()]
+    return heavy_light_join(open_rows, matched.drop("_n"), "_name", "inner", heavy=heavy).select(F.col("_key").alias(key), "canonical_id")
