@@ -273,12 +273,30 @@ _TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Mme|Mlle|Herr|Frau|Sr|Sra|Don|Doña)\.?"
 _PARTICLE = r"(?:de[ ]la|van[ ]der|van[ ]den|von[ ]der|von|van|del|de|di|da|dos|le|la)"
 _WORD = r"[^\W\d_][\w'’-]*[^\W_]"
 _PROPER = r"[^\W\d_a-zß-öø-ÿ][\w'’-]*[^\W\d_]"
-_INTRODUCED = re.compile(
-    r"(?:\b(?:[Hh]arvested|[Cc]ollected|[Ss]igned|[Mm]ounted|[Pp]repared)\sby|\b(?:According|Ship|Thanks)\sto|\b[Ww]e\sasked|\btogether\swith|\blabel\sread|\bafter\slunch|"
-    r"\b(?:Sample\sowner|Contact|Contacto|Ansprechpartner|Kontakt)\s?:|\bColis\spour|\bPaquete\spara|\b(?:montés\spar|montados\spor|wurden\svon|Probe\svon|Laut|Selon|Según))\s"
-    rf"(?:{_TITLE}\s)?"
-    rf"(?P<given>(?!{_TITLE}\s){_PROPER})[ ](?:[A-Z]\.?[ ])?(?P<surname>(?:{_PARTICLE}[ ])?{_PROPER})(?=[ ](?:and|und|et|y|noted|opened|for|during|war|hat|to)\b|[,.(:]|[ ]\(|\n|$)"
+#: Phrases right before a person, without a first letter that may be large or small, and labels with a colon.
+_PHRASES = (
+    "arvested by", "ollected by", "igned by", "ounted by", "repared by", "According to", "Ship to", "Thanks to", "e asked", "together with", "label read", "after lunch",
+    "Colis pour", "Paquete para", "montés par", "montados por", "wurden von", "Probe von", "Laut", "Selon", "Según",
+)
+_LABELS = ("Sample owner", "Contact", "Contacto", "Ansprechpartner", "Kontakt")
+_PERSON = (
+    rf"\s(?:{_TITLE}\s)?(?P<given>(?!{_TITLE}\s){_PROPER})[ ](?:[A-Z]\.?[ ])?(?P<surname>(?:{_PARTICLE}[ ])?{_PROPER})"
+    r"(?=[ ](?:and|und|et|y|noted|opened|for|during|war|hat|to)\b|[,.(:]|[ ]\(|\n|$)"
 )
+_BEHIND = re.compile(_PERSON)
+_BEHIND_LABEL = re.compile(rf"\s?:{_PERSON}")
+
+
+def _phrased(text: str) -> Iterator[re.Match]:
+    """The person behind each phrase and label, in order of the phrases."""
+    for words, form in ((_PHRASES, _BEHIND), (_LABELS, _BEHIND_LABEL)):
+        for w in words:
+            for at in _occurrences(w, text):
+                before = at - 1 if w[0].islower() and at and text[at - 1] in "HhCcSsMmPpWw" else at
+                if (before == 0 or not (text[before - 1].isalnum() or text[before - 1] == "_")) and (m := form.match(text, at + len(w))):
+                    yield m
+
+
 _WORDS = re.compile(_WORD)
 _HEAD = re.compile(rf"{_PARTICLE}[ ]", re.I)
 _BEFORE = re.compile(rf"(?P<given>{_WORD})(?:[ ](?P<middle>[^\W\d_]\.?))?[ ]$")
@@ -399,7 +417,7 @@ def _spelled_by_mail(text: str, mails: list[tuple[int, int]]) -> Iterator[tuple[
 
 def introduced(text: str, mails: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, str | None, str]]:
     """(start, end, given name or None, surname) of each place that shows a person: a phrase, a title, a signature, an address spelled like the words."""
-    for m in _INTRODUCED.finditer(text):
+    for m in _phrased(text):
         yield m.start("given"), m.end("surname"), m["given"], m["surname"]
     for m in _TITLED.finditer(text) if _any(_TITLES, text) else ():
         if m["alone"]:
@@ -462,12 +480,14 @@ def find_mentions(source: str | None, names: Names) -> list[tuple[str, int, int]
         return []
     plain, found, free = _without_names(source)
     mails = [(a, b) for a, b, kind in found if kind == "email"]
-    own = _parts_of(introduced(plain.text, mails))
+    shown = list(introduced(plain.text, mails))
+    own = _parts_of(shown)
     if own:
         names = Names({n for p, n in own if p == "g"}, {n for p, n in own if p == "s"}, names)
     spans = list(names.spans(free))
-    for a, b, _, _ in introduced(_blanked(free, spans), []):
-        if all(b <= x or y <= a for x, y in spans):
+    taken = [(a, b) for a, b, _ in found]
+    for a, b, _, _ in shown:  # what the lexicon did not find there
+        if all(b <= x or y <= a for x, y in (*spans, *taken)):
             spans.append((a, b))
     return [(kind, *plain.source_span(a, b)) for a, b, kind in sorted([*found, *((a, b, "name") for a, b in spans)])]
 
