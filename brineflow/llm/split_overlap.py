@@ -37,7 +37,7 @@ WORD = r"(?:[\p{L}\p{N}]|(?<=\p{Nd})[.,](?=\p{Nd}))++"
 #: Counters of word frequencies, by hash: all words are counted, those that share a counter count together.
 FREQUENCY_BUCKETS = 1 << 20
 CELL = 1000
-ROWS_PER_SHARD = 20_000
+ROWS_PER_SHARD = 5_000
 #: Records of a class that are joined as one block.
 BLOCK = 50_000
 
@@ -157,7 +157,8 @@ def class_matches(classes: DataFrame, similarity: float) -> DataFrame:
         .select("class_id", "train", "cell", F.size("symbols").alias("n"), F.slice("symbols", F.col("place") + 1, F.size("symbols")).alias("tail"))
         .withColumn("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)))
     )
-    found = placed.groupBy("shard").applyInArrow(lambda x: _search(x, similarity), "eval_class binary, train_class binary, n_spans bigint, longest bigint, common bigint")
+    # the search costs far more than its bytes, by which partitions would be merged
+    found = placed.repartition(min(shards, 8 * parallelism(spark)), "shard").groupBy("shard").applyInArrow(lambda x: _search(x, similarity), "eval_class binary, train_class binary, n_spans bigint, longest bigint, common bigint")
     # in the shard of the first common symbol the spans are whole, and more than in any other
     best = F.max(F.struct("common", "n_spans", "longest")).alias("m")
     return found.groupBy("eval_class", "train_class").agg(best).select("eval_class", "train_class", "m.n_spans", "m.longest", "m.common")
