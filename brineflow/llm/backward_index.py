@@ -44,6 +44,7 @@ class BackwardIndex:
         self.n, self.first = n, count
         self.bwt = text[order - 1]  # row 0's predecessor wraps around
         self.owner = np.repeat(np.arange(count), lengths + 1)[order]
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text))])  # rows that start with a smaller symbol
         starts = np.flatnonzero(np.diff(self.bwt, prepend=-1))
         sizes = np.diff(starts, append=n)
         by_symbol = np.lexsort((starts, self.bwt[starts]))
@@ -59,6 +60,10 @@ class BackwardIndex:
         taken = np.where(self.symbols[run] == symbol, np.minimum(row - self.starts[run], self.sizes[run]), self.sizes[run])
         return np.where(at < 0, 0, self.before[run] + taken)
 
+    def single(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows whose suffixes start with `symbol`."""
+        return self.below[symbol + self.first], self.below[symbol + self.first + 1]
+
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows whose suffixes start with `symbol` followed by what rows low..high start with."""
         return self._rows(symbol, low), self._rows(symbol, high)
@@ -78,13 +83,12 @@ class BackwardIndex:
             which, place = np.nonzero(np.arange(matrix.shape[1]) < lengths[:, None])
         symbol = matrix[which, place]
         which, place, symbol = which[symbol > 0], place[symbol > 0], symbol[symbol > 0]
-        everything = np.full(len(which), self.n, dtype=np.int64)
-        low, high = self.step(symbol, np.zeros(len(which), dtype=np.int64), everything)
+        low, high = self.single(symbol)
         # rows that the symbol to the right would lengthen, always among the others
         right = np.where(place > 0, matrix[which, np.maximum(place - 1, 0)], -1)
-        out_low, out_high = self.step(np.maximum(right, 0), np.zeros(len(which), dtype=np.int64), everything)
-        out_low, out_high = self.step(symbol, out_low, out_high)
-        out_low, out_high = np.where(right > 0, out_low, low), np.where(right > 0, out_high, low)
+        longer = np.flatnonzero(right > 0)
+        out_low, out_high = low.copy(), low.copy()
+        out_low[longer], out_high[longer] = self.step(symbol[longer], *self.single(right[longer]))
         span = 1
         while True:
             alive = high - low > out_high - out_low
@@ -102,7 +106,10 @@ class BackwardIndex:
             go = symbol > 0
             which, place, symbol, low, high, out_low, out_high = (x[go] for x in (which, place, symbol, low, high, out_low, out_high))
             low, high = self.step(symbol, low, high)
-            out_low, out_high = self.step(symbol, out_low, out_high)
+            longer = np.flatnonzero(out_high > out_low)
+            ahead_low, ahead_high = self.step(symbol[longer], out_low[longer], out_high[longer])
+            out_low, out_high = low.copy(), low.copy()
+            out_low[longer], out_high[longer] = ahead_low, ahead_high
             span += 1
         if not found:
             none = np.zeros(0, dtype=np.int64)
