@@ -54,7 +54,7 @@ def parse_clauses(rows: DataFrame, index: DataFrame) -> DataFrame:
     r = (
         rows.withColumn("kind", X.clause_kind(F.col("clause")))
         .withColumn("ph_text", X.trailing_ph(F.col("clause")))
-        .withColumn("body", F.when(F.col("kind") == "reagent", X.without_trailing_ph(F.col("clause"))).otherwise(F.col("clause")))
+        .withColumn("body", F.when(F.col("kind") == "reagent", X.without_trailing_ph(F.col("clause"))))  # other kinds name nothing
         .withColumn("amount", Q.extract_amount(F.col("body")))
         .withColumn("name_raw", X.strip_amount(F.col("body")))
         .withColumn("norm_name", X.tidy_name(F.lower("name_raw")))
@@ -133,12 +133,12 @@ def records(parsed: DataFrame) -> DataFrame:
 def parse(conditions: DataFrame, reagents: DataFrame, text: str = "raw_details") -> tuple[DataFrame, DataFrame]:
     """(records, components by text). Records keep all columns of `conditions` and get the parsed ones with a prefix.
 
-    A text that many records share is split off by `heavy_light_join`.
+    The join back is a sort-merge join on the text, whose skewed partitions the adaptive execution splits.
     """
     index = local_index(with_premixes(reagents), MAX_ALIASES)
     parsed = parse_clauses(clause_rows(conditions, text, index), index)
     per_text = records(parsed)
-    out = heavy_light_join(conditions, per_text.select(F.col("text").alias(text), *[F.col(c).alias(f"parsed_{c}") for c in per_text.columns if c != "text"]), text)
+    out = conditions.join(per_text.select(F.col("text").alias(text), *[F.col(c).alias(f"parsed_{c}") for c in per_text.columns if c != "text"]), text, "left")
     blank = F.when(X.is_blank(F.col(text)), "EMPTY")
     return out.withColumn("parsed_discard_reason", F.coalesce(blank, "parsed_discard_reason")), parsed.where("is_component")
 
