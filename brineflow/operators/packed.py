@@ -13,7 +13,7 @@ delimiter holds one value. The scan is linear in the length of the text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -244,7 +244,12 @@ def delimiter_scores(df: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def values_column(df: DataFrame, text: str, source: str, out: str = "values", scores: DataFrame | None = None) -> DataFrame:
-    """Adds the array of values of `text`, split by the delimiters inferred for the row's source.
+    """Adds the array of values of `text`, split by the delimiters inferred for the row's source."""
+    return _by_rules(df, text, source, out, "array<string>", split_values, scores)
+
+
+def _by_rules(df: DataFrame, text: str, source: str, out: str, kind: str, use: Callable[[str | None, frozenset[str]], object], scores: DataFrame | None = None) -> DataFrame:
+    """Adds `use` of each text and the delimiters accepted for its source.
 
     The Arrow functions are marked nondeterministic so that a filter on their result doesn't run them a second time.
     """
@@ -255,19 +260,19 @@ def values_column(df: DataFrame, text: str, source: str, out: str = "values", sc
     if kept is None:
         joined = df.join(rules, df[source].cast("string").eqNullSafe(rules["src"]), "left").drop("src")
 
-        @F.pandas_udf("array<string>")
-        def split_by_row(texts: pd.Series, names: pd.Series) -> pd.Series:
-            return pd.Series([split_values(t, frozenset(() if r is None else r)) for t, r in zip(texts, names)], dtype=object)
+        @F.pandas_udf(kind)
+        def by_row(texts: pd.Series, names: pd.Series) -> pd.Series:
+            return pd.Series([use(t, frozenset(() if r is None else r)) for t, r in zip(texts, names)], dtype=object)
 
-        return joined.withColumn(out, split_by_row.asNondeterministic()(F.col(text), F.col("rules"))).drop("rules")
+        return joined.withColumn(out, by_row.asNondeterministic()(F.col(text), F.col("rules"))).drop("rules")
     by_source = {r["src"]: frozenset(r["rules"]) for r in kept}
 
-    @F.pandas_udf("array<string>")
-    def split_known(texts: pd.Series, sources: pd.Series) -> pd.Series:
+    @F.pandas_udf(kind)
+    def known(texts: pd.Series, sources: pd.Series) -> pd.Series:
         none = frozenset()
-        return pd.Series([split_values(t, by_source.get(s, none)) for t, s in zip(texts, sources)], dtype=object)
+        return pd.Series([use(t, by_source.get(s, none)) for t, s in zip(texts, sources)], dtype=object)
 
-    return df.withColumn(out, split_known.asNondeterministic()(F.col(text), F.col(source).cast("string")))
+    return df.withColumn(out, known.asNondeterministic()(F.col(text), F.col(source).cast("string")))
 
 
 def explode_values(df: DataFrame, key: str, text: str, source: str, least: int = 2) -> DataFrame:
@@ -281,12 +286,12 @@ def explode_values(df: DataFrame, key: str, text: str, source: str, least: int =
     )
 
 
-_DROP = re.compile(r"(?<=\d)([.,])(?=\d)|[^\w]|_")
+_DROP = re.compile(r"(?:(?<!\d)[.,]|[.,](?!\d)|[^\w.,]|_)+")
 
 
 def canonical_value(value: str) -> str:
     """A value without letter case and without characters that are neither letter nor digit; a point or comma between two digits stays."""
-    return _DROP.sub(lambda m: m.group(1) or "", value.casefold())
+    return _DROP.sub("", value.casefold())
 
 
 def canonical_content(text: str | None, accepted: frozenset[str]) -> str | None:
@@ -297,13 +302,7 @@ def canonical_content(text: str | None, accepted: frozenset[str]) -> str | None:
 
 def content_column(df: DataFrame, text: str, source: str, out: str = "content") -> DataFrame:
     """Adds the canonical content of `text`: null for null and blank text and for text without letters and digits."""
-    values = values_column(df, text, source, "_values_of_content")
-
-    @F.pandas_udf("string")
-    def canonical(arrays: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else "\x1f".join(sorted(filter(None, map(canonical_value, a)))) or None for a in arrays], dtype=object)
-
-    return values.withColumn(out, canonical.asNondeterministic()(F.col("_values_of_content"))).drop("_values_of_content")
+    return _by_rules(df, text, source, out, "string", canonical_content)
 
 
 def as_column(name: str | Column) -> Column:
