@@ -263,7 +263,15 @@ def q_nearest_group(t: Tables) -> DataFrame:
     return assign.nearest(r, "record_id", _groups(t), "source").select("record_id", F.round("distance", 6).alias("distance"))
 
 
-@registry.add()
+@registry.add(f"""
+    WITH {_AXES_SQL}, r AS (SELECT f.*, c.source, c.method FROM f JOIN conditions c USING (record_id)), g2 AS (SELECT source, {', '.join(f'avg({x}) AS {x}' for x in assign.AXES)} FROM r GROUP BY source),
+    g3 AS (SELECT source, source || ':' || coalesce(method, '-') AS group_id, {_GROUPS_SQL} FROM r GROUP BY source, method),
+    a AS (SELECT r.record_id, g.source AS parent, {_DIST.format(a="r", b="g")} AS d2 FROM r JOIN g2 g ON r.source = g.source WHERE {_SHARE.format(a="r", b="g")}),
+    t AS (SELECT r.record_id, g.group_id, {_DIST.format(a="r", b="g")} AS d3 FROM r JOIN a ON a.record_id = r.record_id JOIN g3 g ON g.source = a.parent WHERE {_SHARE.format(a="r", b="g")}),
+    b AS (SELECT record_id, arg_min(group_id, row(d3, group_id)) AS child, min(d3) AS d3 FROM t GROUP BY record_id),
+    o AS (SELECT r.record_id, CASE WHEN d3 < 0.5 THEN 3 WHEN d2 < 1.0 THEN 2 END AS level, child, parent, d2, d3 FROM r LEFT JOIN a ON a.record_id = r.record_id LEFT JOIN b ON b.record_id = r.record_id),
+    d AS (SELECT record_id, level, CASE level WHEN 3 THEN child WHEN 2 THEN parent END AS group_id, CASE level WHEN 3 THEN d3 WHEN 2 THEN d2 END AS distance FROM o)
+    SELECT record_id, level, group_id, round(distance, 6) AS distance, CASE WHEN distance <= 0.25 THEN 'exact' WHEN distance <= 0.5 THEN 'near' WHEN distance <= 1.0 THEN 'loose' WHEN distance IS NOT NULL THEN 'far' END AS band FROM d""")
 def q_assign_groups(t: Tables) -> DataFrame:
     f = _features(t).join(t.conditions.select("record_id", "source", "method"), "record_id")
     level2 = assign.centroids(f, ["source"]).withColumn("group_id", F.col("source"))
