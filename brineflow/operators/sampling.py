@@ -65,6 +65,15 @@ def banded_sample(df: DataFrame, key: str, value: str, bands: int, per_band: int
     return drawn(banded, key, ["band"], per_band, seed)
 
 
+def topped_up_sample(df: DataFrame, key: str, value: str, bands: int, size: int, seed: str = "s") -> DataFrame:
+    """`size` rows, the same number from each band of equal count by value; what that leaves open is filled with further rows in hash order."""
+    first = banded_sample(df, key, value, bands, size // bands, seed).drop("band")
+    rest = drawn(df.join(first.select(key), key, "left_anti").withColumn("_all", F.lit(1)), key, ["_all"], size, seed).drop("_all")
+    both = first.withColumn("_turn", F.lit(0)).unionByName(rest.withColumn("_turn", F.lit(1)))
+    h = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
+    return both.orderBy("_turn", h, key).limit(size).drop("_turn")
+
+
 def forced_sample(df: DataFrame, key: str, rare: Column, size: int, n_rare: int, seed: str = "s") -> DataFrame:
     """A sample with a fixed number of rows of a rare kind."""
     marked = df.withColumn("_is", F.coalesce(rare, F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brineflow.functions import quantity as Q
 from brineflow.functions import stats as S
 from brineflow.functions import text as X
-from brineflow.operators import assign, corpus, curation, evaluation, joins, lexicon, link, sampling, screens
+from brineflow.operators import assign, corpus, curation, evaluation, joins, lexicon, link, release, sampling, screens
 from brineflow.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -362,3 +362,18 @@ def q_class_mass(t: Tables) -> DataFrame:
     names = t.components.where("trim(name_raw) <> ''").groupBy(F.lower(F.trim("name_raw")).alias("norm_name")).agg(F.count(F.lit(1)).alias("n_uses"))
     each = t.reagents.select("chem_class", F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("a"))
     return lexicon.coverage_by_class(names, each.groupBy(F.lower(F.trim("a")).alias("norm_name")).agg(F.min("chem_class").alias("chem_class")))
+
+
+@registry.add("""
+    WITH t AS (SELECT doc_id, n_chars, ntile(3) OVER (ORDER BY n_chars, doc_id) AS band FROM documents WHERE n_chars IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY sha256('s' || doc_id), doc_id) AS i FROM t),
+    a AS (SELECT doc_id, 0 AS turn FROM r WHERE i <= 6), b AS (SELECT doc_id, 1 AS turn FROM t WHERE doc_id NOT IN (SELECT doc_id FROM a)) SELECT doc_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY turn, sha256('s' || doc_id), doc_id LIMIT 20""")
+def q_topped_up_sample(t: Tables) -> DataFrame:
+    return sampling.topped_up_sample(t.documents.where("n_chars IS NOT NULL").select("doc_id", "n_chars"), "doc_id", "n_chars", 3, 20).select("doc_id")
+
+
+@registry.add("""
+    SELECT c.record_id, c.source, s.n_of_source, w.n_of_split FROM conditions c LEFT JOIN (SELECT source, count(*) AS n_of_source FROM conditions GROUP BY 1) s ON s.source = c.source LEFT JOIN (SELECT split, count(*) AS n_of_split FROM conditions GROUP BY 1) w ON w.split = c.split""")
+def q_flat_records(t: Tables) -> DataFrame:
+    c = t.conditions
+    dims = [(c.groupBy(k).agg(F.count(F.lit(1)).alias(f"n_of_{k}")), [k]) for k in ("source", "split")]
+    return release.flat_records(c.select("record_id", "source", "split"), dims).select("record_id", "source", "n_of_source", "n_of_split")

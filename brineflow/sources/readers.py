@@ -45,6 +45,31 @@ def tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.select(*columns)
 
 
+def tsv_behind_header(spark: SparkSession, path: str, prefix: str, columns: list[str]) -> DataFrame:
+    """Tab-separated text whose header is the first line that starts with `prefix`, whatever stands before it; every column a string.
+
+    Lines with another number of fields than the header, and repeats of the header, are no rows; without a header the
+    table is empty. Only the header comes to the driver.
+    """
+    lines = spark.read.text(path)
+    head = lines.where(F.col("value").startswith(prefix)).orderBy(F.length("value")).first()
+    names = head["value"].rstrip("\r\n").split("\t") if head else columns
+    fields = F.split(F.rtrim(F.regexp_replace("value", "\r$", "")) if len(names) == 1 else F.regexp_replace("value", "\r$", ""), "\t")
+    rows = lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith(prefix)).select(fields.alias("f")).where(F.size("f") == len(names))
+    return rows.select(*[F.col("f")[names.index(c)].alias(c) for c in columns]) if head else rows.select(*[F.lit(None).cast("string").alias(c) for c in columns]).limit(0)
+
+
+def verified(found: DataFrame, published: DataFrame) -> DataFrame:
+    """(name, status) of files (path, length, md5) against published ones (name, length, md5): ok, size_differs, checksum_differs, missing or unknown."""
+    here = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("_length"), F.col("md5").alias("_md5"))
+    j = published.join(here, "name", "full_outer")
+    status = (
+        F.when(F.col("_md5").isNull(), "missing").when(F.col("md5").isNull(), "unknown").when(F.col("length") != F.col("_length"), "size_differs")
+        .when(F.lower("md5") != F.col("_md5"), "checksum_differs").otherwise("ok")
+    )
+    return j.select("name", status.alias("status"))
+
+
 def tsv_pairs(spark: SparkSession, path: str, first: str = "representative", second: str = "member") -> DataFrame:
     return spark.read.schema(f"{first} string, {second} string").option("sep", "\t").csv(path)
 

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import os
 import time
 import urllib.error
 import urllib.request
+from pathlib import Path
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -106,10 +109,12 @@ class _Reader(DataSourceReader):
         self.url, self.query = options["url"], options.get("query", "")
         self.ids = json.loads(options["ids"])
         self.size = int(options.get("batchsize", options.get("batchSize", 300)))
+        self.done = frozenset(json.loads(options.get("done", "[]")))
         self.transport = transport
 
     def partitions(self) -> list[InputPartition]:
-        return [_Batch(i, b) for i, b in enumerate(id_batches(self.ids, self.size))]
+        """One for each batch whose name is not among those done, so a run goes on where another ended."""
+        return [_Batch(i, b) for i, b in enumerate(id_batches(self.ids, self.size)) if batch_name(i, b) not in self.done]
 
     def read(self, partition: _Batch) -> Iterator[tuple]:
         def fetch(ids: Sequence[str]) -> list:
@@ -122,7 +127,7 @@ class _Reader(DataSourceReader):
 
 
 def entry_source(transport: Transport | None = None) -> type[DataSource]:
-    """A data source `entries` with options url, query, ids (a JSON list) and batchSize; rows are (batch, json, bad_id)."""
+    """A data source `entries` with options url, query, ids (a JSON list), batchSize and done (a JSON list of batch names to skip); rows are (batch, json, bad_id)."""
     used = retrying(transport or http)
 
     class EntrySource(DataSource):
@@ -168,3 +173,19 @@ def transfer_stats(output: str) -> dict[str, int]:
     import re
 
     return {m[1].strip().lower().replace(" ", "_"): int(m[2].replace(",", "")) for m in re.finditer(r"^([A-Za-z ]+):\s*([\d,]+)", output, re.M)}
+
+
+def download(transport: Transport, url: str, path: str, md5: str | None = None) -> str:
+    """ok or skipped: one file fetched to `path` by way of a temporary name, so a broken transfer leaves nothing; a file that is there with the right checksum is not fetched again."""
+    target = Path(path)
+    if target.exists() and (md5 is None or hashlib.md5(target.read_bytes()).hexdigest() == md5):
+        return "skipped"
+    content = transport(url, None)
+    if md5 is not None and hashlib.md5(content).hexdigest() != md5:
+        raise ValueError(f"{url}: checksum differs")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    handle, name = tempfile.mkstemp(dir=target.parent, prefix=target.name)
+    with os.fdopen(handle, "wb") as f:
+        f.write(content)
+    os.replace(name, target)
+    return "ok"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -68,3 +70,17 @@ def payload(df: DataFrame, path: str | Path, meta: dict, most: int = 100_000) ->
         raise ValueError(f"more than {most} rows for one document")
     write_atomically(path, json.dumps({**meta, "records": rows}, ensure_ascii=False))
     return len(rows)
+
+
+def rewrite_yaml(path: str | Path, change: Callable[[dict], dict], dry_run: bool = False) -> dict:
+    """A YAML document changed by `change`, with the last number of its `version` raised and the comments before its first key kept; nothing is written in a dry run."""
+    import yaml
+
+    text = Path(path).read_text(encoding="utf-8")
+    comments = "".join(itertools.takewhile(lambda x: x.startswith("#") or not x.strip(), text.splitlines(keepends=True)))
+    payload = change(yaml.safe_load(text))
+    head, _, last = str(payload.get("version", "0")).rpartition(".")
+    payload["version"] = f"{head}.{int(last) + 1}" if head else str(int(last) + 1)
+    if not dry_run:
+        write_atomically(path, comments + yaml.safe_dump(payload, allow_unicode=True, sort_keys=False))
+    return payload

@@ -667,3 +667,37 @@ def test_draws_sums_and_batches_in_parts_are_the_same_as_in_one(spark):
     assert {r["k"]: r["v_before"] for r in ranks.running_sums(df, [F.asc("v"), F.asc("k")], ["v"]).collect()} == total
     near = vectors.nearest_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, v array<double>"), spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(50)], "id bigint, v array<double>"), "id", "v", 3)
     assert [r["target"] for r in near.orderBy("rank").collect()] == [6, 13, 20]
+
+
+def test_headers_checksums_downloads_and_rewritten_documents(spark, tmp_path):
+    import hashlib
+
+    from brineflow.sources import readers, services, sinks
+
+    with gzip.open(tmp_path / "t.tsv.gz", "wt") as f:
+        f.write("# made up\nsome title\nPDB\tCHAIN\tN\n9xyz\tA\t1\nshort\n9abc\tB\t\n")
+    assert rows(readers.tsv_behind_header(spark, f"{tmp_path}/t.tsv.gz", "PDB\t", ["N", "PDB"]), "PDB", "N") == [("9abc", ""), ("9xyz", "1")]
+    assert readers.tsv_behind_header(spark, f"{tmp_path}/t.tsv.gz", "NONE", ["N"]).count() == 0
+    body = (tmp_path / "t.tsv.gz").read_bytes()
+    md5 = hashlib.md5(body).hexdigest()
+    published = spark.createDataFrame([("t.tsv.gz", len(body), md5.upper()), ("gone", 1, "x")], "name string, length bigint, md5 string")
+    assert rows(readers.verified(readers.files(spark, f"{tmp_path}/t.tsv.gz"), published), "name", "status") == [("gone", "missing"), ("t.tsv.gz", "ok")]
+    calls = []
+    transport = lambda url, body=None: calls.append(url) or b"abc"
+    good = hashlib.md5(b"abc").hexdigest()
+    assert [services.download(transport, "u", f"{tmp_path}/d/x", good) for _ in range(2)] == ["ok", "skipped"] and calls == ["u"]
+    with pytest.raises(ValueError):
+        services.download(transport, "u", f"{tmp_path}/d/y", "0")
+    assert [p.name for p in (tmp_path / "d").iterdir()] == ["x"]
+    (tmp_path / "l.yaml").write_text("# kept\n\nversion: 0.8.3\nreagents: [a]\n")
+    change = lambda d: {**d, "reagents": [*d["reagents"], "b"]}
+    assert sinks.rewrite_yaml(tmp_path / "l.yaml", change, dry_run=True)["version"] == "0.8.4" and "0.8.3" in (tmp_path / "l.yaml").read_text()
+    sinks.rewrite_yaml(tmp_path / "l.yaml", change)
+    assert (tmp_path / "l.yaml").read_text().startswith("# kept\n\nversion: 0.8.4")
+
+
+def test_batches_that_are_done_are_not_asked_again():
+    from brineflow.sources import services
+
+    reader = services._Reader({"url": "u", "ids": json.dumps(["a", "b", "c"]), "batchsize": "2", "done": json.dumps([services.batch_name(0, ("a", "b"))])}, lambda u, b: b"")
+    assert [p.ids for p in reader.partitions()] == [("c",)]
