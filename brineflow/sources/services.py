@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import os
+import tempfile
 import time
 import urllib.error
 import urllib.request
-from pathlib import Path
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
