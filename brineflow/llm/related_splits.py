@@ -113,7 +113,9 @@ def contract(edges: DataFrame) -> DataFrame:
     for chosen in reversed(maps):
         up = labels.select(F.col("vertex").alias("into"), F.col("label").alias("up"))
         level = chosen.join(up, "into", "left").select(F.col("a").alias("vertex"), F.coalesce("up", "into").alias("label"))
-        labels = written(labels.unionByName(level), "labels")
+        following = written(labels.unionByName(level), "labels")
+        discard(labels)
+        labels = following
     if not unwound:
         return labels
     # a vertex that was joined by others only, and by none of the last rounds, is its own label
@@ -136,6 +138,7 @@ def keyed_groups(df: DataFrame, record: str, cluster: str, entry: str) -> tuple[
     keys = both_keys(pairs, clusterless)
     named = keys.join(labels.withColumnRenamed("vertex", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = written(named, "keys")
+    discard(labels)
     stats = named.groupBy("label").agg(F.sum("n").alias("n_group"), F.min("c").alias("c"), F.min("p").alias("p"))
     stats = stats.select("label", "n_group", F.coalesce("c", "p").alias("group_key"))
     groups = heavy_light_join(named.select("key", "label"), stats, "label")
@@ -143,7 +146,9 @@ def keyed_groups(df: DataFrame, record: str, cluster: str, entry: str) -> tuple[
     direct = rows.where("c IS NOT NULL").select("record_id", F.concat(F.lit("c"), "c").alias("key"))
     indirect = heavy_light_join(rows.where("c IS NULL AND p IS NOT NULL").select("record_id", "p"), entry_to_key, "p").select("record_id", F.col("via").alias("key"))
     free = rows.where("c IS NULL AND p IS NULL").select("record_id", F.lit(None).cast("string").alias("key"))
-    return direct.unionByName(indirect).unionByName(free), written(groups, "groups")
+    groups = written(groups, "groups")
+    discard(named)
+    return direct.unionByName(indirect).unionByName(free), groups
 
 
 def both_keys(pairs: DataFrame, clusterless: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from brineflow.llm.backward_index import BackwardIndex
 from brineflow.llm.related_splits import entry_key
 from brineflow.operators.joins import HEAVY_SHARE, heavy_light_join
 from brineflow.operators.packed import content_column
-from brineflow.runtime.session import parallelism, ship_code, spread, written
+from brineflow.runtime.session import discard, parallelism, ship_code, spread, written
 
 WORD = r"(?:[\p{L}\p{N}]|(?<=\p{Nd})[.,](?=\p{Nd}))++"
 #: Counters of word frequencies, by hash: all words are counted, those that share a counter count together.
@@ -161,7 +161,9 @@ def class_matches(classes: DataFrame, similarity: float) -> DataFrame:
     found = placed.repartition(min(shards, 8 * parallelism(spark)), "shard").groupBy("shard").applyInArrow(lambda x: _search(x, similarity), "eval_class binary, train_class binary, n_spans bigint, longest bigint, common bigint")
     # in the shard of the first common symbol the spans are whole, and more than in any other
     best = F.max(F.struct("common", "n_spans", "longest")).alias("m")
-    return found.groupBy("eval_class", "train_class").agg(best).select("eval_class", "train_class", "m.n_spans", "m.longest", "m.common")
+    out = written(found.groupBy("eval_class", "train_class").agg(best).select("eval_class", "train_class", "m.n_spans", "m.longest", "m.common"), "matches")
+    discard(shared)
+    return out
 
 
 def _in_blocks(pairs: DataFrame, members: DataFrame, side: str) -> DataFrame:
@@ -187,7 +189,8 @@ def cross_split_pairs(df: DataFrame, record: str, text: str, entry: str, split:
     others = records.select(F.explode("other_classes").alias("class_id"), "train").groupBy("class_id").agg(*sides)
     others = others.select("class_id", F.array(F.xxhash64("class_id")).alias("symbols"), "is_train", "is_eval")
     classes = written(_ordered(by_words, word_frequencies(records)).unionByName(others), "classes")
-    matches = written(class_matches(classes, similarity), "matches")
+    matches = class_matches(classes, similarity)
+    discard(classes)
     members = records.select("record_id", "train", F.explode(F.array_compact(F.concat(F.array("word_class"), "other_classes"))).alias("class_id"))
     out = _in_blocks(matches, members.where(~F.col("train")).select("class_id", "record_id"), "eval_class")
     out = _in_blocks(out, members.where("train").select("class_id", "record_id"), "train_class")
