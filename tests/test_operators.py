@@ -581,6 +581,66 @@ def test_similar_sequences_recall_at_the_threshold(spark, similarity):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 100
 
 
+def _shuffled_rows(spark) -> int:
+    """Rows that all stages so far have written for a shuffle."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("places", [2_000_000, 500])
+def test_kmer_hits_against_all_pairs(spark, monkeypatch, places):
+    """All queries at once and in parts; repeated keys, lower case, letters beyond ASCII, ties, and no k-mers as rows."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(link, "QUERY_PLACES", places, raising=False)
+    monkeypatch.setattr(link, "PAIRS", 40, raising=False)
+    rng = random.Random(5)
+    family = ["".join(rng.choice("ACDEFGHIKL") for _ in range(80)) for _ in range(3)]
+    data = [(f"t{i:03d}", "".join(rng.choice("ACD") if rng.random() < 0.03 else c for c in family[i % 3])) for i in range(90)]
+    data += [("twin_a", "MKVLAWGHT"), ("twin_b", "MKVLAWGHT"), ("twice", "MKVLAWGHTRR"), ("twice", "MKVLAWGHTRR"), ("small", "mkvlaWGHT"), ("short", "MKVL"), ("gone", None), (None, "MKVLAWGHT"), ("blank", "")]
+    data += [("greek", "ΑΒΓΔΕΖΗΘ"), ("mixed", "ΑΒΓΔΕΖMKVLAW"), ("poly", "A" * 40)]
+    kmers: dict = {}
+    for i, s in data:
+        if i and s and len(s) >= 5:
+            kmers.setdefault(i, []).append({s.upper()[j : j + 5] for j in range(len(s) - 4)})
+    want = []
+    for q in [i for i in kmers if i[-1] in "0e" or i in ("twin_a", "small", "greek")]:
+        found = []
+        for t in kmers:
+            a, b = Counter(x for w in kmers[q] for x in w), Counter(x for w in kmers[t] for x in w)
+            n = sum(a[x] * b[x] for x in a)
+            rest = len(kmers[q][0]) + len(kmers[t][0]) - n
+            identity = float("inf") if rest == 0 else n / rest
+            if q != t and n and identity >= 0.1:
+                found.append((-identity, t, n))
+        want += [(q, t, n, round(-s, 9), r) for r, (s, t, n) in enumerate(sorted(found)[:12], 1)]
+    df = spark.createDataFrame(data, "id string, s string").repartition(3)
+    asked = df.where("substr(id, -1) IN ('0', 'e') OR id IN ('twin_a', 'small', 'greek')")
+    before = _shuffled_rows(spark)
+    out = link.kmer_hits(asked, df, "id", "s", most=12)
+    got = [(r["query"], r["target"], r["shared"], round(r["identity"], 9), r["rank"]) for r in out.collect()]
+    assert sorted(got) == sorted(want) and len({w[0] for w in want}) > 12
+    assert _shuffled_rows(spark) - before < 1000  # the sequences have some 7,000 k-mers
+    none = link.kmer_hits(asked.limit(0), df, "id", "s")
+    assert none.dtypes == out.dtypes and none.count() == 0 and link.kmer_hits(asked, df.limit(0), "id", "s").count() == 0
+
+
+def test_hits_of_kmers_are_counted_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rows_ = [(i, ["ACDEFGHIKLMNPQ"[: 5 + i % 9]]) for i in range(50)]
+    part = link._postings(rows_, pa.int64(), 5)
+    words = link.kmer_codes("ACDEFGHIKLMNPQ", 5)
+    want = [1 + i % 9 for i in range(50)]
+    for most in (1, 7, 60, 10_000):
+        monkeypatch.setattr(link, "HITS", most)
+        assert link._shared_counts(words, *part[:3], 50).tolist() == want
+    assert len(np.unique(link.kmer_codes("AAAAAΑΑΑΑΑ", 5))) == 6 and link.kmer_codes("AAAAAΑ", 5)[0] == link.kmer_codes("AAAAA", 5)[0]
+
+
 def test_components_in_one_task_and_by_rounds_are_the_same(spark, monkeypatch):
     import random
 
