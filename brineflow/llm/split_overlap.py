@@ -38,6 +38,8 @@ WORD = r"(?:[\p{L}\p{N}]|(?<=\p{Nd})[.,](?=\p{Nd}))++"
 FREQUENCY_BUCKETS = 1 << 20
 CELL = 1000
 ROWS_PER_SHARD = 5_000
+#: Places of the index that training sequences are matched with at a time: what a shard holds for its pairs doesn't grow with how many are alike.
+HITS = 1_000_000
 #: Records of a class that are joined as one block.
 BLOCK = 50_000
 
@@ -95,7 +97,7 @@ def _ordered(classes: DataFrame, frequencies: np.ndarray) -> DataFrame:
 
 
 def _search(table: pa.Table, similarity: float) -> pa.Table:
-    """Pairs of classes of one shard, decided by the merged spans of their maximal matches."""
+    """Pairs of classes of one shard, decided by the merged spans of their maximal matches; training sequences go in parts of about HITS places."""
     names, types = ["eval_class", "train_class", "n_spans", "longest", "common"], [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     schema = pa.schema(list(zip(names, types)))
     table = table.combine_chunks()
@@ -117,19 +119,36 @@ def _search(table: pa.Table, similarity: float) -> pa.Table:
     evaluation, training = np.flatnonzero(~train), np.flatnonzero(train)
     index = BackwardIndex(flat[order] + 1, lengths[evaluation])
     at = np.minimum(np.searchsorted(used, key[~of_eval]), len(used) - 1)
-    patterns = np.full((len(training), int(lengths[training].max())), -1, dtype=np.int64)
-    patterns[(np.cumsum(train) - 1)[row[~of_eval]], place[~of_eval]] = np.where(used[at] == key[~of_eval], at + 1, -1)
-    which, owner, span = index.maximal_matches(patterns, lengths[training], anywhere=True)
-    pair, inverse = np.unique(which * len(evaluation) + owner, return_inverse=True)
-    common = np.bincount(inverse, weights=span, minlength=len(pair)).astype(np.int64)
-    longest = np.zeros(len(pair), dtype=np.int64)
-    np.maximum.at(longest, inverse, span)
-    t, e = training[pair // len(evaluation)], evaluation[pair % len(evaluation)]
+    symbols = np.where(used[at] == key[~of_eval], at + 1, -1)
+    low, high = index.single(np.maximum(symbols, 1))
+    sizes = lengths[training]
+    begin = np.cumsum(sizes) - sizes
+    hits = np.add.reduceat(np.where(symbols > 0, high - low, 0), begin) + sizes
     n = table.column("n").to_numpy().astype(np.int64)
-    near = common >= similarity * (n[t] + n[e] - common) - 1e-9
     ids = table.column("class_id").combine_chunks()
-    columns = [ids.take(pa.array(e[near])), ids.take(pa.array(t[near])), np.bincount(inverse, minlength=len(pair))[near], longest[near], common[near]]
-    return pa.table([pa.array(c, k) if isinstance(c, np.ndarray) else c.cast(k) for c, k in zip(columns, types)], schema=schema)
+    out = []
+    by_size = np.argsort(sizes, kind="stable")
+    for part in np.split(by_size, np.flatnonzero(np.diff(np.cumsum(hits[by_size]) // HITS)) + 1):
+        size = sizes[part]
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        patterns = np.full((len(part), int(size.max())), -1, dtype=np.int64)
+        patterns[np.repeat(np.arange(len(part)), size), inside] = symbols[np.repeat(begin[part], size) + inside]
+        which, owner, span = index.maximal_matches(patterns, size, anywhere=True)
+        pair, inverse = np.unique(which * len(evaluation) + owner, return_inverse=True)
+        common = np.bincount(inverse, weights=span, minlength=len(pair)).astype(np.int64)
+        longest = np.zeros(len(pair), dtype=np.int64)
+        np.maximum.at(longest, inverse, span)
+        t, e = training[part[pair // len(evaluation)]], evaluation[pair % len(evaluation)]
+        near = common >= similarity * (n[t] + n[e] - common) - 1e-9
+        columns = [ids.take(pa.array(e[near])), ids.take(pa.array(t[near])), np.bincount(inverse, minlength=len(pair))[near], longest[near], common[near]]
+        out.append(pa.table([pa.array(c, k) if isinstance(c, np.ndarray) else c.cast(k) for c, k in zip(columns, types)], schema=schema))
+    return pa.concat_tables(out)
+
+
+def _placed_rows(shared: DataFrame) -> int:
+    """Rows that all cells hold together: a class is in as many cells of a symbol as the other side has parts."""
+    train, evaluation = F.ceil(F.col("n_train") / CELL), F.ceil(F.col("n_eval") / CELL)
+    return shared.agg(F.sum(F.col("n_train") * evaluation + F.col("n_eval") * train)).first()[0] or 0
 
 
 def class_matches(classes: DataFrame, similarity: float) -> DataFrame:
@@ -141,8 +160,7 @@ def class_matches(classes: DataFrame, similarity: float) -> DataFrame:
     seeds = classes.select("class_id", "is_train", "is_eval", F.posexplode(F.slice("symbols", 1, prefix)).alias("place", "symbol"))
     sides = seeds.groupBy("symbol").agg(F.count_if("is_train").alias("n_train"), F.count_if("is_eval").alias("n_eval"))
     shared = written(sides.where("n_train > 0 AND n_eval > 0"), "symbols")
-    total = shared.agg(F.sum(F.col("n_train") + F.col("n_eval"))).first()[0] or 0
-    shards = max(parallelism(spark), math.ceil(total / ROWS_PER_SHARD))
+    shards = max(parallelism(spark), math.ceil(_placed_rows(shared) / ROWS_PER_SHARD))
     side = F.explode(F.array_compact(F.array(F.when(F.col("is_train"), True), F.when(F.col("is_eval"), False)))).alias("train")
     met = heavy_light_join(seeds, shared, "symbol", "inner").select("class_id", "symbol", "place", "n_train", "n_eval", side)
     met = met.select("class_id", "symbol", "place", "train", F.ceil(F.col("n_train") / CELL).alias("cells_train"), F.ceil(F.col("n_eval") / CELL).alias("cells_eval"))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,45 @@ def test_cross_split_pairs(recipes, monkeypatch):
     assert run(recipes.limit(0)) == set()
 
 
+def _shard(n_train: int, n_eval: int, shared: list[int], rng: random.Random) -> pa.Table:
+    """One cell whose sequences share symbols of `shared`, after a rare one of their own and the symbol they met by."""
+    side = [True] * n_train + [False] * n_eval
+    tails = [[1, *sorted(rng.sample(shared, len(shared) * 9 // 10)), 10_000 + i] for i in range(len(side))]
+    columns = [pa.array([b"%d" % i for i in range(len(side))], pa.binary()), pa.array(side), pa.array([7] * len(side), pa.int64()), pa.array(list(map(len, tails)), pa.int32()), pa.array(tails, pa.list_(pa.int64()))]
+    return pa.table(columns, names=["class_id", "train", "cell", "n", "tail"])
+
+
+def test_search_of_a_dense_shard_holds_a_bounded_part_of_its_pairs():
+    import tracemalloc
+
+    table = _shard(500, 500, list(range(2, 42)), random.Random(3))
+    tracemalloc.start()
+    found = split_overlap._search(table, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sets = [set(t) for t in table.column("tail").to_pylist()]
+    want = sum(len(sets[t] & sets[e]) >= 0.8 * len(sets[t] | sets[e]) - 1e-9 for t in range(500) for e in range(500, 1000))
+    assert found.num_rows == want > 0
+    assert peak < 60e6
+
+
+@pytest.mark.parametrize("hits", [1, 90, 1_000_000])
+def test_search_in_parts_finds_the_same_pairs(monkeypatch, hits):
+    monkeypatch.setattr(split_overlap, "HITS", hits, raising=False)
+    table = _shard(30, 20, list(range(2, 22)), random.Random(4))
+    sets = [set(t) for t in table.column("tail").to_pylist()]
+    want = {(b"%d" % e, b"%d" % t, len(sets[t] & sets[e])) for t in range(30) for e in range(30, 50) if len(sets[t] & sets[e]) >= 0.8 * len(sets[t] | sets[e]) - 1e-9}
+    found = split_overlap._search(table, 0.8)
+    assert {(r["eval_class"], r["train_class"], r["common"]) for r in found.to_pylist()} == want and found.num_rows == len(want) > 0
+
+
+def test_shards_are_as_many_as_the_cells_need(spark, monkeypatch):
+    """A class of a symbol with many classes is in many cells; those rows count, not the classes."""
+    monkeypatch.setattr(split_overlap, "CELL", 2)
+    assert split_overlap._placed_rows(spark.createDataFrame([(10, 5), (1, 1)], "n_train bigint, n_eval bigint")) == 10 * 3 + 5 * 5 + 2
+    assert split_overlap._placed_rows(spark.createDataFrame([], "n_train bigint, n_eval bigint")) == 0
+
+
 def test_term_counts(spark, monkeypatch):
     rng = random.Random(8)
     terms = [("Hot  term" if rng.random() < 0.4 else f" t{rng.randrange(300)} ", rng.choice([None, "", " ", "B"]), rng.randrange(-50, 70_000), "clash") for _ in range(3000)]
